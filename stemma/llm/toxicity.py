@@ -30,7 +30,7 @@ from .common import map_texts, table
 SAMPLE = {1: 2500, 0: 5000}
 THRESHOLD = 0.7
 GOLD_ACCURACY = 0.98
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
 MINED_VOTERS = 5
 MOST_MINED = 1500
 
@@ -55,11 +55,13 @@ _HAND = {name: frozenset(words.encode().split()) for name, words in LEXICONS.ite
 
 
 def features(text: str | None) -> set[bytes]:
-    """Words of the lower-cased text, and their beginnings marked by a caret."""
+    """Words of the lower-cased text, their beginnings (bytes) marked by a caret, and beginnings of two different words by two."""
     words = set((text or "").lower().encode().translate(_SPLIT).split())
     out = set(words)
     for n in PREFIXES:
-        out |= {b"^" + w[:n] for w in words if len(w) > n}
+        starts = sorted([w[:n] for w in words if len(w) > n])
+        out.update([b"^" + w for w in starts])
+        out.update([b"^^" + a for a, b in zip(starts, starts[1:]) if a == b])
     return out
 
 
@@ -97,7 +99,7 @@ def mine(found: list[set[bytes]], gold: np.ndarray) -> list[bytes]:
         return []
     cut = math.log(0.01 / max(1, len(toxic)))
     n_clean = max(1, int((gold == 0).sum()))
-    scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if a >= 3 and clean[f] <= 0.01 * n_clean]
+    scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if a >= 3 and clean[f] <= min(0.1 * a, 0.01 * n_clean)]
     return [f for s, f in sorted(scored) if s < cut][:MOST_MINED]
 
 
