@@ -9,9 +9,11 @@ change few embedded positions. Each repetition samples ``BITS`` positions of an
 embedding as a bucket key; ``REPEATS`` of them meet the target recall, which
 the tests measure. What collides is verified by exact edit distance.
 
-Before embedding, a lossless test: within k edits of an item, n - k words of the
-window must be words of some item. Few windows pass it; equal ones among them
-are embedded once per batch.
+Before embedding, a lossless test: within k edits of an item, all but k of the
+item's words stand in the window. So n - k of the window's words must be words
+of some item, and of the words that few items have, all but k of the fewest that
+an item of this length has. Few windows pass both; equal ones among them are
+embedded once per batch.
 
 The items are held by each worker, at most ``BLOCK_ITEMS`` at a time; a larger
 benchmark is taken in blocks against all documents.
@@ -19,22 +21,26 @@ benchmark is taken in blocks against all documents.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
-from .rolling import mix, word_hashes
+from .rolling import mix, prefix_sums, window_at, word_hashes
 
 RATE = 0.2
 #: Items with fewer words match nothing.
 LEAST_WORDS = 5
-EMBEDDINGS, REPEATS, BITS = 6, 48, 3
+EMBEDDINGS, REPEATS, BITS = 3, 48, 3
 BLOCK_ITEMS = 5000
 #: Words of documents handled by one array operation.
 RUN_WORDS = 1_000_000
+#: A word is common if more than this share of the items has it.
+COMMON = 0.02
+#: The test is made for this many starts at once, then for each start of those that pass.
+STRIDE = 16
 
 _SPLIT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 
@@ -73,8 +79,9 @@ def embed(flat: np.ndarray, starts: np.ndarray, n: int, seed: int, steps: np.nda
         value = np.where(inside, flat[base + np.minimum(at, n - 1)], np.uint64(0))
         if step in wanted:
             out[:, wanted[step]] = value
-        coin = mix(value ^ np.uint64((0x9E3779B97F4A7C15 * (seed * 1000003 + step + 1)) & 0xFFFFFFFFFFFFFFFF))
-        at += (coin & np.uint64(1)).astype(np.int64) & inside
+        # the top bit of a random odd multiple is the coin of this step and word
+        odd = np.uint64(((0x9E3779B97F4A7C15 * (seed * 1000003 + step + 1) ^ 0xD1B54A32D192ED03) | 1) & 0xFFFFFFFFFFFFFFFF)
+        at += ((value * odd) >> np.uint64(63)).astype(np.int64) & inside
     return out
 
 
@@ -85,7 +92,9 @@ class Items:
         self.rows = [(i, words_of(t)) for i, t in rows]
         self.rows = [(i, w) for i, w in self.rows if len(w) >= LEAST_WORDS]
         hashed = [word_hashes(w) for _, w in self.rows]
-        self.vocabulary = {w for _, ws in self.rows for w in ws}
+        spread = Counter(w for _, ws in self.rows for w in set(ws))
+        #: 1 for common words of the items, 2 for others
+        self.vocabulary = {w: 1 if n > max(2, COMMON * len(self.rows)) else 2 for w, n in spread.items()}
         self.masks: list[dict[int, int]] = []
         for h in hashed:
             mask: dict[int, int] = defaultdict(int)
@@ -98,6 +107,7 @@ class Items:
         rng = np.random.default_rng(seed)
         per = -(-REPEATS // EMBEDDINGS)
         self.lengths = {}
+        self.least_rare = {n: min(sum(self.vocabulary[w] == 2 for w in self.rows[k][1]) for k in members) - int(RATE * n) for n, members in by_length.items()}
         for n, members in sorted(by_length.items()):
             flat = np.concatenate([hashed[k] for k in members])
             starts = np.arange(len(members)) * n
@@ -145,17 +155,24 @@ class Items:
         return [(d, i, s, len(self.rows[i][1]), x) for (d, i), (x, s) in sorted(best.items())]
 
     def _scan(self, run: list[tuple[int, list[bytes]]], best: dict) -> None:
-        known = self.vocabulary
-        flags = np.fromiter((w in known for _, ws in run for w in ws), bool)
+        known = self.vocabulary.get
+        flags = np.concatenate([np.frombuffer(bytes([known(w, 0) for w in ws]), np.uint8) for _, ws in run])
+        size = len(flags)
         ends = np.cumsum([len(ws) for _, ws in run])
         begins = ends - [len(ws) for _, ws in run]
-        total = np.zeros(len(flags) + 1, np.int32)
-        np.cumsum(flags, out=total[1:])
+        rare, total = np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int32)
+        np.cumsum(flags == 2, out=rare[1:])
+        np.cumsum(flags > 0, out=total[1:])
+        heads = np.arange(0, size, STRIDE)
+        spread = np.arange(STRIDE)
         where: dict[int, np.ndarray] = {}
         for n in self.lengths:
-            if len(flags) < n:
-                continue
-            at = np.flatnonzero(total[n:] - total[:-n] >= n - int(RATE * n))
+            least, least_rare = n - int(RATE * n), self.least_rare[n]
+            tails = np.minimum(heads + (STRIDE - 1 + n), size)
+            near = heads[(rare[tails] - rare[heads] >= least_rare) & (total[tails] - total[heads] >= least)]
+            at = (near[:, None] + spread).ravel()
+            at = at[at + n <= size]
+            at = at[(rare[at + n] - rare[at] >= least_rare) & (total[at + n] - total[at] >= least)]
             if len(at):
                 doc = np.searchsorted(ends, at, side="right")
                 at = at[at + n <= ends[doc]]
@@ -163,21 +180,17 @@ class Items:
                 where[n] = at
         if not where:
             return
-        need = np.zeros(len(flags), bool)
+        mark = np.zeros(size + 1, np.int64)
         for n, at in where.items():
-            mark = np.zeros(len(flags) + 1, np.int32)
-            np.add.at(mark, at, 1)
-            np.add.at(mark, at + n, -1)
-            need |= np.cumsum(mark[:-1]) > 0
-        flat = np.zeros(len(flags), np.uint64)
-        places = np.flatnonzero(need)
+            mark[at] += 1  # starts of one length differ
+            mark[at + n] -= 1
+        flat = np.zeros(size, np.uint64)
+        places = np.flatnonzero(np.cumsum(mark[:-1]))
         doc_of = np.searchsorted(ends, places, side="right")
         flat[places] = word_hashes([run[d][1][p - begins[d]] for d, p in zip(doc_of.tolist(), places.tolist())])
-        weights = mix(np.arange(1, 4097, dtype=np.uint64))
+        sums = prefix_sums(flat)
         for n, at in where.items():
-            content = np.zeros(len(at), np.uint64)
-            for j in range(n):
-                content += mix(flat[at + j] + weights[j % 4096] * np.uint64(j // 4096 + 1))
+            content = window_at(sums, at, n)
             _, one, back = np.unique(content, return_index=True, return_inverse=True)
             starts = at[one]
             found: dict[int, set[int]] = defaultdict(set)

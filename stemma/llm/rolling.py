@@ -32,13 +32,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * _power(_BASE, len(hashes)), out=total[1:])
+    return total
+
+
+def window_at(sums: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the run of ``size`` words at each start."""
+    return mix((sums[starts + size] - sums[starts]) * _power(_INVERSE, len(sums))[starts])
+
+
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of each run of ``size`` words; empty if there are fewer."""
     n = len(hashes)
     if n < size:
         return np.empty(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * _power(_BASE, n), out=total[1:])
+    total = prefix_sums(hashes)
     return mix((total[size:] - total[:-size]) * _power(_INVERSE, n - size + 1))
 
 
