@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 #: Characters of text that are cut into words at a time, and words in one recursive query.
 RUN_CHARS, QUERY_WORDS = 3_000_000, 100_000
 
