@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 #: At most so many toxic and so many other rows are used to fit.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 2000, 0: 4000}
 THRESHOLD = 0.7
 GOLD_ACCURACY = 0.98
 PREFIXES = (4, 5, 6, 7, 8)
 MINED_VOTERS = 5
-MOST_MINED = 1500
+MOST_MINED = 1000
 
 _SPLIT = bytes(32 if c < 48 or 58 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
@@ -89,17 +89,27 @@ def _excess(a: int, b: int, share: float) -> float:
     return -n * (p * math.log(p / share) + rest)
 
 
-def mine(found: list[set[bytes]], gold: np.ndarray) -> list[bytes]:
-    """Features that are commoner in toxic rows than chance allows, over all features tried; best first."""
-    toxic, clean = Counter(), Counter()
-    for f, y in zip(found, gold):
-        (toxic if y else clean).update(f)
+def mine(texts: list, gold: np.ndarray) -> list[bytes]:
+    """Features that are commoner in toxic rows than chance allows, over all features tried; best first.
+
+    Only features of three or more toxic rows are counted in the others, so that
+    memory follows the toxic rows' vocabulary.
+    """
     share = float(gold.mean()) if len(gold) else 0.0
     if not 0 < share < 1:
         return []
-    cut = math.log(0.01 / max(1, len(toxic)))
-    n_clean = max(1, int((gold == 0).sum()))
-    scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if a >= 3 and clean[f] <= min(0.1 * a, 0.01 * n_clean)]
+    toxic: Counter = Counter()
+    for t, y in zip(texts, gold):
+        if y:
+            toxic.update(features(t))
+    tried = max(1, len(toxic))
+    toxic = Counter({f: n for f, n in toxic.items() if n >= 3})
+    clean: Counter = Counter()
+    for t, y in zip(texts, gold):
+        if not y:
+            clean.update(toxic.keys() & features(t))
+    cut, n_clean = math.log(0.01 / tried), max(1, int((gold == 0).sum()))
+    scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if clean[f] <= min(0.1 * a, 0.01 * n_clean)]
     return [f for s, f in sorted(scored) if s < cut][:MOST_MINED]
 
 
@@ -205,9 +215,11 @@ def fit(texts: list, gold: np.ndarray) -> Model:
     """Fit voters, label model and classifier on labelled texts."""
     if len(gold) < 20 or not 0 < gold.sum() < len(gold):
         return default_model()
-    found = [features(t) for t in texts]
-    mined = mine(found, gold)
+    mined = mine(texts, gold)
     hand = list(_HAND)
+    own = sorted(set(mined) | set().union(*_HAND.values()))
+    index = {f: k for k, f in enumerate(own)}
+    found = [index.keys() & features(t) for t in texts]
     lexicons = [_HAND[h] for h in hand] + [frozenset(mined[k::MINED_VOTERS]) for k in range(MINED_VOTERS)]
     votes = np.zeros((len(texts), len(lexicons) + len(PATTERNS)), int)
     names = list(PATTERNS)
@@ -217,11 +229,9 @@ def fit(texts: list, gold: np.ndarray) -> Model:
         for name in pattern_votes(t):
             votes[r, len(lexicons) + names.index(name)] = 1
     post = LabelModel().fit(votes, gold)
-    own = sorted(set(mined) | set().union(*_HAND.values()))
-    index = {f: k for k, f in enumerate(own)}
     x = np.zeros((len(texts), len(own) + len(hand) + len(names)), np.float32)
     for r, f in enumerate(found):
-        x[r, [index[w] for w in index.keys() & f]] = 1
+        x[r, [index[w] for w in f]] = 1
     x[:, len(own) : len(own) + len(hand)] = votes[:, : len(hand)]
     x[:, len(own) + len(hand) :] = votes[:, len(lexicons) :]
     weights, bias = logistic(x, post)
