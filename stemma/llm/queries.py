@@ -6,10 +6,11 @@ from .bpe import op6_bpe
 from .decontaminate import op8_decontaminate
 from .licenses import op1_licenses
 from .media import op5_media
+from .near import op10_near
 from .repeats import op2_repeats
 from .secrets import op3_secrets
 from .sharding import op9_shards
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_repeats, op3_secrets, op4_toxicity, op5_media, op6_bpe, op8_decontaminate, op9_shards)}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_repeats, op3_secrets, op4_toxicity, op5_media, op6_bpe, op8_decontaminate, op9_shards, op10_near)}
 ORACLE_SQL: dict[str, str] = {}
