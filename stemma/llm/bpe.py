@@ -144,13 +144,36 @@ def _runs(texts: list) -> list[list[str]]:
 
 
 def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array of int) and decoded (binary); null and empty texts have no ids."""
+    """doc_id, n_tokens and ids (array of int); null and empty texts have no ids."""
+    import numpy as np
 
     def encode(ids: list, texts: list) -> dict:
-        done = [x for run in _runs(texts) for x in codec(path).encode_all(run)]
-        return {"doc_id": ids, "ids": [[int(k) for k in x[0].split()] for x in done], "decoded": [x[1] for x in done]}
-
-    return map_texts(docs, encode, "doc_id long, ids array<int>, decoded binary")
+        parts, lengths = [np.empty(0, np.int32)], [0]
+        for run in _runs(texts):
+            for encoded, _ in codec(path).encode_all(run):
+                parts.append(np.fromstring(encoded, np.int32, sep=" ") if encoded else np.empty(0, np.int32))
+                lengths.append(len(parts[-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(parts)))
+        return {"doc_id": ids, "n_tokens": lengths[1:], "ids": lists}
+
+    return map_texts(docs, encode, "doc_id long, n_tokens long, ids array<int>")
+
+
+def decode_ids(tokens: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id and the text that ``ids`` stands for; null where the bytes are no UTF-8 or an id is unknown."""
+
+    def decode(batches):
+        vocabulary = {i: t for t, i in codec(path).ranks.items()}
+        for batch in batches:
+            texts = []
+            for ids in batch.column(1).to_pylist():
+                try:
+                    texts.append(None if ids is None else b"".join([vocabulary[i] for i in ids]).decode())
+                except (KeyError, UnicodeDecodeError):
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return tokens.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

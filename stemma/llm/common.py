@@ -66,12 +66,23 @@ def map_texts(docs: DataFrame, fn: Callable[[list, list], dict], schema: str, id
         for batch in batches:
             for part in slices(batch):
                 out = fn(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
+                yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 
+def over_texts(fn: Callable[[list], list], kind: str):
+    """A vectorised column function of a text column: ``fn`` takes and gives a list."""
+    import pandas as pd
+
+    def run(texts):
+        return pd.Series(fn(texts.tolist()), dtype=object)
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, kind)
+
+
 def _arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, over_texts, table
 from .rolling import mix, prefix_sums, window_at, word_hashes
 
 RATE = 0.2
@@ -272,16 +272,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage."""
-    import pandas as pd
-
     for rows in benchmark_blocks(benchmark):
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, rows=rows) -> pd.Series:
-            hit = {m[0] for m in _index(rows).matches(texts.tolist())}
-            return pd.Series([k not in hit for k in range(len(texts))], dtype=bool)
+        def clean(texts: list, rows=rows) -> list:
+            hit = {m[0] for m in _index(rows).matches(texts)}
+            return [k not in hit for k in range(len(texts))]
 
-        docs = docs.where(clean("text"))
+        docs = docs.where(over_texts(clean, "boolean")("text"))
     return docs
 
 

@@ -22,7 +22,7 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, new_name, table
+from .common import map_texts, new_name, over_texts, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -230,12 +230,7 @@ def mask(text: str | None, mark: str = "[secret]") -> str | None:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars``, if there is one, brought up to date."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return pd.Series([mask(t) for t in texts], dtype=object)
-
+    masked = over_texts(lambda texts: [mask(t) for t in texts], "string")
     temp = new_name(docs, "_masked")
     out = docs.withColumn(temp, masked("text"))
     if "n_chars" in docs.columns:
