@@ -15,7 +15,6 @@ in chunks of documents, whose number follows the corpus.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -83,23 +82,27 @@ def _unit_map(top: list[bytes]) -> dict[bytes, int]:
     return {w: FORMS + k for k, w in enumerate(top)} | {END_WORD: END}
 
 
+class _Units(dict):
+    """The unit of each word; forms are found at the first question."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = unit = form(word)
+        return unit
+
+
 def _count_pairs(top: list[bytes]):
     known = _unit_map(top)
 
     def run(parts):
         total = np.zeros(UNITS * UNITS, np.int64)
         for cols in parts:
-            cache = dict(known)
+            units = _Units(known)
+            flat = [END]
             for text in cols["text"]:
-                words = words_of(text)
-                for w in set(words):
-                    if w not in cache:
-                        cache[w] = form(w)
-                u = np.fromiter((cache[w] for w in words), np.int64, len(words))
-                seen = np.concatenate([[END], u, [END]])
-                total += np.bincount(seen[:-1] * UNITS + seen[1:], minlength=UNITS * UNITS) if len(u) > UNITS * UNITS // 8 else 0
-                if len(u) <= UNITS * UNITS // 8:
-                    np.add.at(total, seen[:-1] * UNITS + seen[1:], 1)
+                flat += map(units.__getitem__, words_of(text))
+                flat.append(END)  # ends one text and begins the next
+            seen = np.array(flat, np.int64)
+            total += np.bincount(seen[:-1] * UNITS + seen[1:], minlength=UNITS * UNITS)
         at = np.flatnonzero(total)
         if len(at):
             yield {"pair": at, "n": total[at]}
@@ -180,16 +183,16 @@ class ClassModel:
     n: int
     v: int
 
-    def word_share(self, units: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """P(word | unit): 1 for a unit that is a word, add-one within a form."""
+    def of_words(self, units: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For words of these units and training counts: P(word) by frequency, and P(unit | class) P(word | unit)."""
+        plain = (counts + 1) / (self.n + self.v + 1)
         tokens, types = self.tokens[np.minimum(units, FORMS)], self.types[np.minimum(units, FORMS)]
-        return np.where(units >= FORMS, 1.0, (counts + 1) / (tokens + types + 1))
+        within = np.where(units >= FORMS, 1.0, (counts + 1) / (tokens + types + 1))
+        return plain, self.unit[units] * within
 
-    def log10(self, units: np.ndarray, counts: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(base, model) log10 probabilities of tokens, given the units before them."""
-        plain = (counts + 1) / (self.n + self.v + 1)
-        by_class = self.step[self.of[before], self.of[units]] * self.unit[units] * self.word_share(units, counts)
-        return np.log10(plain), np.log10(SHARE * by_class + (1 - SHARE) * plain)
+    def log10(self, classes: np.ndarray, before: np.ndarray, plain: np.ndarray, within: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens by their classes, the classes before them, and ``of_words``."""
+        return np.log10(SHARE * self.step[before, classes] * within + (1 - SHARE) * plain)
 
 
 def fit_classes(top: list[bytes], pairs: np.ndarray, tokens: np.ndarray, types: np.ndarray, n: int, v: int) -> ClassModel:
@@ -264,20 +267,24 @@ def _scorer(model: ClassModel, schema: pa.Schema):
         place = {w: k for k, w in enumerate(words)}
         counts = np.array(right["c"].to_numpy(zero_copy_only=False), np.float64)
         units = np.fromiter((known[w] if w in known else form(w) for w in words), np.int64, len(words))
+        plain, within = model.of_words(units, counts)
+        base, classes, seen = np.log10(plain), model.of[units], counts > 0
         end = place[END_WORD]
         out: dict[str, list] = {f.name: [] for f in schema}
         out["doc_id"], out["held_out"] = left["doc_id"].to_pylist(), left["held_out"].to_pylist()
-        for batch in left.select(["text"]).to_batches(max_chunksize=512):
+        for batch in left.select(["text"]).to_batches(max_chunksize=256):
+            flat: list[int] = [end]
+            starts = []
             for text in batch.column(0).to_pylist():
-                own = words_of(text)
-                at = np.fromiter((place[w] for w in own), np.int64, len(own))
-                at = np.append(at, end)
-                u, c = units[at], counts[at]
-                base, mixed = model.log10(u, c, np.concatenate([[END], u[:-1]]))
-                out["n_tokens"].append(len(at))
-                out["n_known"].append(int((c > 0).sum()))
-                out["base_score"].append(math.fsum(base))
-                out["score"].append(math.fsum(mixed))
+                starts.append(len(flat) - 1)
+                flat += map(place.__getitem__, words_of(text))
+                flat.append(end)
+            at = np.array(flat, np.int64)
+            token = at[1:]
+            mixed = model.log10(classes[token], classes[at[:-1]], plain[token], within[token])
+            out["n_tokens"] += np.diff([*starts, len(token)]).tolist()
+            for name, values in (("n_known", seen[token].astype(np.int64)), ("base_score", base[token]), ("score", mixed)):
+                out[name] += np.add.reduceat(values, starts).tolist()
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema})
 
     return run
