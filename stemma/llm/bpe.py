@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, table
 
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 800_000
 #: Characters of text that are cut into words at a time, and words in one recursive query.
-RUN_CHARS, QUERY_WORDS = 3_000_000, 100_000
+RUN_CHARS, QUERY_WORDS = 2_000_000, 100_000
 
 # One contraction per word and round. A pair's rank is the id of its union; rank
 # and position share a number, so that min() finds the leftmost pair of least rank.

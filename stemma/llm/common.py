@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Upper bound on the text bytes that a Python worker handles at once (one longer text is handled alone).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,15 +72,34 @@ def map_texts(docs: DataFrame, fn: Callable[[list, list], dict], schema: str, id
     return rows.mapInArrow(run, schema)
 
 
-def over_texts(fn: Callable[[list], list], kind: str):
-    """A vectorised column function of a text column: ``fn`` takes and gives a list."""
-    import pandas as pd
+def _in_slices(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], text_col: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield fn(part)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def filter_texts(docs: DataFrame, keep: Callable[[list], list], text_col: str = "text") -> DataFrame:
+    """The rows whose text ``keep`` (a list of texts to a list of booleans) is true of, with all columns."""
+    return _in_slices(docs, lambda part: part.filter(pa.array(keep(part.column(text_col).to_pylist()), pa.bool_())), text_col)
+
+
+def replace_texts(docs: DataFrame, fn: Callable[[list], list], text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+    """All rows with new texts; where a text changes, its length in ``length_col`` (if there is one) does too."""
 
-    def run(texts):
-        return pd.Series(fn(texts.tolist()), dtype=object)
+    def one(part: pa.RecordBatch) -> pa.RecordBatch:
+        old = part.column(text_col).to_pylist()
+        new = fn(old)
+        names, columns = part.schema.names, list(part.columns)
+        columns[names.index(text_col)] = pa.array(new, part.schema.field(text_col).type)
+        if length_col in names:
+            k = names.index(length_col)
+            columns[k] = pa.array([n if a == b else len(b) for a, b, n in zip(old, new, columns[k].to_pylist())], columns[k].type)
+        return pa.RecordBatch.from_arrays(columns, schema=part.schema)
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, kind)
+    return _in_slices(docs, one, text_col)
 
 
 def _arrow(spark: SparkSession, schema: str) -> pa.Schema:

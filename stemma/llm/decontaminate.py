@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, over_texts, table
+from .common import filter_texts, map_texts, table
 from .rolling import mix, prefix_sums, window_at, word_hashes
 
 RATE = 0.2
@@ -278,7 +278,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             hit = {m[0] for m in _index(rows).matches(texts)}
             return [k not in hit for k in range(len(texts))]
 
-        docs = docs.where(over_texts(clean, "boolean")("text"))
+        docs = filter_texts(docs, clean)
     return docs
 
 

@@ -152,14 +152,13 @@ def _arrow_map(rows: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def _sign(cols: dict) -> dict:
-    words = [words_of(t) for t in cols["text"]]
-    digest = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
-    bands: list = [None] * len(words)
-    for at in range(0, len(words), 256):
-        sets = [units(shingles(w)) for w in words[at : at + 256]]
-        signature, empty = signatures(sets)
-        for k, (key, none) in enumerate(zip(band_keys(signature), empty)):
-            bands[at + k] = None if none else key
+    digest: list = []
+    bands: list = []
+    for at in range(0, len(cols["text"]), 256):
+        words = [words_of(t) for t in cols["text"][at : at + 256]]
+        digest += [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
+        signature, empty = signatures([units(shingles(w)) for w in words])
+        bands += [None if none else key for key, none in zip(band_keys(signature), empty)]
     return {"row": cols["row"], "digest": digest, "bands": bands}
 
 

@@ -20,9 +20,8 @@ import re
 from collections import Counter
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_texts, new_name, over_texts, table
+from .common import map_texts, replace_texts, table
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -230,13 +229,7 @@ def mask(text: str | None, mark: str = "[secret]") -> str | None:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with secrets masked in ``text`` and ``n_chars``, if there is one, brought up to date."""
-    masked = over_texts(lambda texts: [mask(t) for t in texts], "string")
-    temp = new_name(docs, "_masked")
-    out = docs.withColumn(temp, masked("text"))
-    if "n_chars" in docs.columns:
-        changed = ~F.col(temp).eqNullSafe(F.col("text"))
-        out = out.withColumn("n_chars", F.when(changed, F.length(temp).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.col(temp)).select(*docs.columns)
+    return replace_texts(docs, lambda texts: [mask(t) for t in texts])
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, over_texts, table
+from .common import filter_texts, map_texts, table
 
 #: At most so many toxic and so many other rows are used to fit.
 SAMPLE = {1: 2000, 0: 4000}
@@ -303,8 +303,7 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the rows that score ``THRESHOLD`` or more."""
-    clean = over_texts(lambda texts: [model.score(t) < THRESHOLD for t in texts], "boolean")
-    return docs.where(clean("text"))
+    return filter_texts(docs, lambda texts: [model.score(t) < THRESHOLD for t in texts])
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
