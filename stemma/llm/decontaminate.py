@@ -11,9 +11,9 @@ the tests measure. What collides is verified by exact edit distance.
 
 Before embedding, a lossless test: within k edits of an item, all but k of the
 item's words stand in the window. So n - k of the window's words must be words
-of some item, and of the words that few items have, all but k of the fewest that
-an item of this length has. Few windows pass both; equal ones among them are
-embedded once per batch.
+of some item; and of the rarer words that items of n words have, the window must
+have all but k of the fewest that one of them has. Few windows pass both; equal
+ones among them are embedded once per batch.
 
 The items are held by each worker, at most ``BLOCK_ITEMS`` at a time; a larger
 benchmark is taken in blocks against all documents.
@@ -39,9 +39,6 @@ BLOCK_ITEMS = 5000
 RUN_WORDS = 1_000_000
 #: A word is common if more than this share of the items has it.
 COMMON = 0.02
-#: The test is made for this many starts at once, then for each start of those that pass.
-STRIDE = 16
-
 _SPLIT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 
 
@@ -85,6 +82,22 @@ def embed(flat: np.ndarray, starts: np.ndarray, n: int, seed: int, steps: np.nda
     return out
 
 
+def _starts(spots: np.ndarray, codes: np.ndarray, least: int, own: np.ndarray, n: int, size: int) -> np.ndarray:
+    """Starts of the runs of n words with at least ``least`` of the spots whose code is in ``own``."""
+    if size < n:
+        return np.empty(0, np.int64)
+    if least <= 0:
+        return np.arange(size - n + 1)
+    mine = spots[own[codes]]
+    if len(mine) < least:
+        return np.empty(0, np.int64)
+    # a run over spots j to j + least - 1 starts after the last of them less n, and not after the first
+    low, high = np.maximum(mine[least - 1 :] - n + 1, 0), np.minimum(mine[: len(mine) - least + 1], size - n)
+    low = np.maximum(low, np.concatenate([[0], np.maximum.accumulate(high)[:-1] + 1]))
+    count = np.maximum(high - low + 1, 0)
+    return np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
 class Items:
     """The items of a benchmark by length, with their LSH tables."""
 
@@ -93,8 +106,9 @@ class Items:
         self.rows = [(i, w) for i, w in self.rows if len(w) >= LEAST_WORDS]
         hashed = [word_hashes(w) for _, w in self.rows]
         spread = Counter(w for _, ws in self.rows for w in set(ws))
-        #: 1 for common words of the items, 2 for others
-        self.vocabulary = {w: 1 if n > max(2, COMMON * len(self.rows)) else 2 for w, n in spread.items()}
+        rare = [w for w, n in spread.items() if n <= max(2, COMMON * len(self.rows))]
+        #: 1 for common words of the items, 2 and more for the others
+        self.vocabulary = dict.fromkeys(spread, 1) | {w: k for k, w in enumerate(rare, 2)}
         self.masks: list[dict[int, int]] = []
         for h in hashed:
             mask: dict[int, int] = defaultdict(int)
@@ -107,7 +121,12 @@ class Items:
         rng = np.random.default_rng(seed)
         per = -(-REPEATS // EMBEDDINGS)
         self.lengths = {}
-        self.least_rare = {n: min(sum(self.vocabulary[w] == 2 for w in self.rows[k][1]) for k in members) - int(RATE * n) for n, members in by_length.items()}
+        self.rare: dict[int, tuple[int, np.ndarray]] = {}
+        for n, members in by_length.items():
+            own = np.zeros(len(rare) + 2, bool)
+            codes = [[c for c in map(self.vocabulary.__getitem__, self.rows[k][1]) if c > 1] for k in members]
+            own[[c for cs in codes for c in cs]] = True
+            self.rare[n] = min(map(len, codes)) - int(RATE * n), own
         for n, members in sorted(by_length.items()):
             flat = np.concatenate([hashed[k] for k in members])
             starts = np.arange(len(members)) * n
@@ -156,23 +175,18 @@ class Items:
 
     def _scan(self, run: list[tuple[int, list[bytes]]], best: dict) -> None:
         known = self.vocabulary.get
-        flags = np.concatenate([np.frombuffer(bytes([known(w, 0) for w in ws]), np.uint8) for _, ws in run])
-        size = len(flags)
+        codes = np.concatenate([np.array([known(w, 0) for w in ws], np.int32) for _, ws in run])
+        size = len(codes)
         ends = np.cumsum([len(ws) for _, ws in run])
         begins = ends - [len(ws) for _, ws in run]
-        rare, total = np.zeros(size + 1, np.int32), np.zeros(size + 1, np.int32)
-        np.cumsum(flags == 2, out=rare[1:])
-        np.cumsum(flags > 0, out=total[1:])
-        heads = np.arange(0, size, STRIDE)
-        spread = np.arange(STRIDE)
+        total = np.zeros(size + 1, np.int32)
+        np.cumsum(codes > 0, out=total[1:])
+        spots = np.flatnonzero(codes > 1)
+        spot_codes = codes[spots]
         where: dict[int, np.ndarray] = {}
         for n in self.lengths:
-            least, least_rare = n - int(RATE * n), self.least_rare[n]
-            tails = np.minimum(heads + (STRIDE - 1 + n), size)
-            near = heads[(rare[tails] - rare[heads] >= least_rare) & (total[tails] - total[heads] >= least)]
-            at = (near[:, None] + spread).ravel()
-            at = at[at + n <= size]
-            at = at[(rare[at + n] - rare[at] >= least_rare) & (total[at + n] - total[at] >= least)]
+            at = _starts(spots, spot_codes, *self.rare[n], n, size)
+            at = at[total[at + n] - total[at] >= n - int(RATE * n)]
             if len(at):
                 doc = np.searchsorted(ends, at, side="right")
                 at = at[at + n <= ends[doc]]
