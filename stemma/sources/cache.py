@@ -6,6 +6,7 @@ import os
 import warnings
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ class PageCache:
                 df = self.spark.read.schema(PAGES).parquet(versions[-1])
                 df.limit(1).collect()
                 return df
-        except PySparkException as e:
+        except (PySparkException, Py4JError) as e:
             warnings.warn(f"the page cache at {self.path} can't be read: {type(e).__name__}", stacklevel=2)
         return self.spark.createDataFrame([], PAGES)
 
@@ -102,7 +103,7 @@ class PageCache:
             if not fs.exists(path):
                 return 0, 0.0
             return self.read().count(), fs.getContentSummary(path).getLength() / 1e6
-        except PySparkException:
+        except (PySparkException, Py4JError):
             return 0, 0.0
 
     def clear(self) -> tuple[bool, str]:
