@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm.bpe import token_ids
+from stemma.llm.bpe import SMALL_CACHE, token_ids
 from stemma.llm.common import materialize, table
 from stemma.llm.decontaminate import drop_contaminated
 from stemma.llm.near import keep_one
@@ -37,7 +37,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids."""
-    return token_ids(docs)
+    return token_ids(docs, cache_words=SMALL_CACHE)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]

@@ -6,8 +6,8 @@ neighbouring rows to the merge table and contracts, in each word that still has
 a pair, the leftmost pair of least rank, until no word has one; ordered
 aggregation gives the ids and, over the vocabulary, the decoded bytes.
 
-A worker keeps the words that it has met, up to ``CACHE_WORDS``; beyond that
-the older half is forgotten and encoded anew when it comes again.
+A worker keeps the words that it has met, up to a bound; beyond that the older
+half is forgotten and encoded anew when it comes again.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, table
 
+#: Words that a worker keeps: about 350 bytes each.
 CACHE_WORDS = 800_000
+#: The same where other work has filled the executors before.
+SMALL_CACHE = 200_000
 #: Characters of text that are cut into words at a time, and words in one recursive query.
 RUN_CHARS, QUERY_WORDS = 2_000_000, 100_000
 
@@ -59,7 +62,7 @@ def read_ranks(path: str | None) -> dict[bytes, int]:
 class Codec:
     """Encodes and decodes words by the ranks in a file; ``pattern`` cuts texts into words."""
 
-    def __init__(self, path: str | None = None, pattern: str | None = None):
+    def __init__(self, path: str | None = None, pattern: str | None = None, cache_words: int = CACHE_WORDS):
         import duckdb
         import regex
 
@@ -70,6 +73,7 @@ class Codec:
         self.ranks = read_ranks(path)
         self.cut = regex.compile(pattern).findall
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.cache_words = cache_words
         self.first = [self.ranks[bytes([b])] for b in range(256)]
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.db = duckdb.connect()
@@ -98,8 +102,8 @@ class Codec:
             self.known[words[k]] = encoded, bytes.fromhex(decoded)
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            for w in list(self.known)[: max(0, len(self.known) - CACHE_WORDS // 2)]:
+        if len(self.known) + len(words) > self.cache_words:
+            for w in list(self.known)[: max(0, len(self.known) - self.cache_words // 2)]:
                 if w not in words:
                     del self.known[w]
         todo = []
@@ -125,11 +129,12 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(path: str | None = None, pattern: str | None = None) -> Codec:
+def codec(path: str | None = None, pattern: str | None = None, cache_words: int = CACHE_WORDS) -> Codec:
     """This process's codec, made at its first use."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    key = path, pattern, cache_words
+    if key not in _codecs:
+        _codecs[key] = Codec(path, pattern, cache_words)
+    return _codecs[key]
 
 
 def _runs(texts: list) -> list[list[str]]:
@@ -143,14 +148,14 @@ def _runs(texts: list) -> list[list[str]]:
     return out
 
 
-def token_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
+def token_ids(docs: DataFrame, path: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
     """doc_id, n_tokens and ids (array of int); null and empty texts have no ids."""
     import numpy as np
 
     def encode(ids: list, texts: list) -> dict:
         parts, lengths = [np.empty(0, np.int32)], [0]
         for run in _runs(texts):
-            for encoded, _ in codec(path).encode_all(run):
+            for encoded, _ in codec(path, cache_words=cache_words).encode_all(run):
                 parts.append(np.fromstring(encoded, np.int32, sep=" ") if encoded else np.empty(0, np.int32))
                 lengths.append(len(parts[-1]))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum(lengths), pa.int32()), pa.array(np.concatenate(parts)))

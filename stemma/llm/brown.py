@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow, materialize, slices, table
+from .common import _arrow, materialize, slices, small_batches, table
 
 TOP, CLASSES, SWEEPS = 600, 64, 8
 LENGTHS, TAILS = 2, 150
@@ -62,6 +62,7 @@ def _map(rows: DataFrame, fn, schema: str) -> DataFrame:
         for out in fn(parts):
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

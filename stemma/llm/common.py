@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Upper bound on the text bytes that a Python worker handles at once (one longer text is handled alone).
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch; the default of 10,000 holds tens of megabytes of text on either side.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the JVM pass ``BATCH_ROWS`` rows at a time to Python, where the session has no setting of its own."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds at most ``SLICE_BYTES`` of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if batch.nbytes > SLICE_BYTES else []
@@ -67,7 +76,10 @@ def map_texts(docs: DataFrame, fn: Callable[[list, list], dict], schema: str, id
             for part in slices(batch):
                 out = fn(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
+            del batch
+            pa.default_memory_pool().release_unused()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
@@ -77,7 +89,10 @@ def _in_slices(docs: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             for part in slices(batch, text_col):
                 yield fn(part)
+            del batch
+            pa.default_memory_pool().release_unused()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow, materialize, new_name, slices, table
+from .common import _arrow, materialize, new_name, slices, small_batches, table
 from .decontaminate import words_of
 from .rolling import mix, prefix_sums, window_at
 
@@ -148,6 +148,7 @@ def _arrow_map(rows: DataFrame, fn, schema: str) -> DataFrame:
                     out = fn({c: part.column(k).to_pylist() for k, c in enumerate(part.schema.names)})
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 

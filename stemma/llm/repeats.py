@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, slices, small_batches, table
 from .rolling import signed, windows, word_hashes
 
 WINDOW, ANCHOR = 50, 20
@@ -51,6 +51,7 @@ def _map(rows: DataFrame, fn, schema: str) -> DataFrame:
                 out = fn({c: part.column(k).to_pylist() for k, c in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
+    small_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
