@@ -146,13 +146,11 @@ class LabelModel:
         """Posterior probability of the label for each row."""
         anchor = np.where(gold == 1, 1, -1) * math.log(GOLD_ACCURACY / (1 - GOLD_ACCURACY))
         post = 1 / (1 + np.exp(-anchor))
-        self.parent = [-1] * votes.shape[1]
-        for tree in (False, True):
-            if tree:
-                self.parent = dependence_tree(votes, post)
-            for _ in range(rounds):
-                self._estimate(votes, post)
-                post = 1 / (1 + np.exp(-np.clip(self.log_odds(votes) + anchor, -40, 40)))
+        # Dependences come first: taken as independent, voters that agree would outweigh the gold labels.
+        self.parent = dependence_tree(votes, post)
+        for _ in range(rounds):
+            self._estimate(votes, post)
+            post = 1 / (1 + np.exp(-np.clip(self.log_odds(votes) + anchor, -40, 40)))
         return post
 
 
