@@ -272,17 +272,20 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """
     rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
     signed = materialize(_arrow_map(rows, _sign, "row long, digest binary, bands array<long>"), "near-bands")
-    # One node for each word sequence: its least id.
-    owner = signed.where("digest IS NOT NULL AND row IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"))
-    members = materialize(signed.select("row", "digest").join(owner, "digest", "left").select("row", F.coalesce("node", "row").alias("node")), "near-members")
+    # One node for each word sequence: its least id. What a join reads is written before,
+    # so that its hot keys (a digest or bucket of very many texts) can be split at run time.
+    owner = materialize(signed.where("digest IS NOT NULL AND row IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node")), "near-owners")
+    worded = signed.where("digest IS NOT NULL").select("row", "digest").join(owner, "digest", "left").select("row", F.coalesce("node", "row").alias("node"))
+    members = materialize(worded.unionAll(signed.where("digest IS NULL").select("row", F.col("row").alias("node"))), "near-members")
     nodes = signed.where("digest IS NOT NULL").join(owner, "digest", "left_semi").select("row", "digest", "bands")
     nodes = nodes.join(owner.withColumnRenamed("node", "row"), ["digest", "row"], "left_semi").select(F.col("row").alias("node"), "bands").dropDuplicates(["node"])
     held = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "near-buckets")
-    sizes = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     shared = materialize(held.join(sizes, "bucket"), "near-shared")
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
     ranked = shared.join(fame, "node")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("b"))
+    pivots = materialize(pivots, "near-pivots")
     star = materialize(shared.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
     inside = materialize(star.select(F.col("a").alias("node")).unionAll(star.select("b")).distinct(), "near-inside")
     texts = rows.join(inside, rows.row == inside.node).select("node", "text")
