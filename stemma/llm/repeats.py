@@ -126,18 +126,19 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     first = materialize(_map(rows, _first_pass, "doc_id long, th long, digest binary, n_words long, sha string, anchors array<long>"), "repeats-texts")
-    earliest = first.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("earliest"))
+    # What a join reads is written before, so that its hot keys can be split at run time.
+    earliest = materialize(first.where("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("earliest")), "repeats-earliest")
     # Copies: only the earliest of equal texts takes part below.
     seen = first.select("doc_id", "th", "digest", "n_words", "sha").join(earliest, "digest", "left")
     copy = F.coalesce(F.col("doc_id") > F.col("earliest"), F.lit(False))
     owners = first.where("doc_id IS NOT NULL AND n_words >= 50").select("doc_id", "th", "digest", "anchors")
     owners = owners.join(earliest.withColumnRenamed("earliest", "doc_id"), ["digest", "doc_id"], "left_semi")
     places = materialize(owners.select("doc_id", "th", F.explode("anchors").alias("anchor")), "repeats-anchors")
-    shared = places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
+    shared = materialize(places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "repeats-shared")
     wanted = places.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("shared"))
     touched = materialize(rows.where("text IS NOT NULL").join(wanted, ["doc_id", "th"]), "repeats-touched")
     counted = materialize(_map(touched.select("doc_id", "text", "shared"), _window_rows, "anchor long, h long, doc_id long"), "repeats-windows")
-    firsts = counted.groupBy("anchor", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "h", "a")
+    firsts = materialize(counted.groupBy("anchor", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "h", "a"), "repeats-firsts")
     gone = counted.join(firsts, ["anchor", "h"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
     cut = _map(touched.select("doc_id", "text").join(gone, "doc_id", "left"), _last_pass, REPEATS)
     whole = (F.col("n_words") >= WINDOW) & copy
