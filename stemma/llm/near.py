@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow, materialize, new_name, slices, small_batches, table
+from .common import _arrow, discard, materialize, new_name, slices, small_batches, table
 from .decontaminate import words_of
 from .rolling import mix, prefix_sums, window_at
 
@@ -40,6 +40,7 @@ K = BANDS * ROWS
 LAYERS = 8
 #: Texts of a clump compared as one block.
 BLOCK = 192
+CELL_TEXTS = 500
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -241,18 +242,20 @@ def components(nodes: DataFrame, edges: DataFrame, label: str, rounds: int = 60)
     labels are shortened by following them once; rounds end when none changes.
     """
     both = materialize(edges.select("a", "b").unionAll(edges.selectExpr("b AS a", "a AS b")).distinct(), f"{label}-edges")
-    current = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), label)
+    written = current = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), label)
     for _ in range(rounds):
         near = both.join(current, both.b == current.node).groupBy("a").agg(F.min("component").alias("near"))
         stepped = current.join(near, current.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         heads = current.select(F.col("node").alias("head"), F.col("component").alias("above"))
         after = materialize(stepped.join(heads, F.col("component") == F.col("head"), "left").select("node", "old", F.least("component", "above").alias("component")), label)
         changed = after.where("old <> component").limit(1).count()
-        current = after.select("node", "component")
+        discard(written)
+        written, current = after, after.select("node", "component")
         if not changed:
             break
     else:
         raise RuntimeError("components did not settle")
+    discard(both)
     return nodes.select("node").join(current, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -282,11 +285,13 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     held = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "near-buckets")
     sizes = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     shared = materialize(held.join(sizes, "bucket"), "near-shared")
+    discard(held, sizes, owner, signed)
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
     ranked = shared.join(fame, "node")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("b"))
     pivots = materialize(pivots, "near-pivots")
     star = materialize(shared.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
+    discard(shared, pivots)
     inside = materialize(star.select(F.col("a").alias("node")).unionAll(star.select("b")).distinct(), "near-inside")
     texts = rows.join(inside, rows.row == inside.node).select("node", "text")
     unit_rows = materialize(_arrow_map(texts, _unit_rows, "node long, units binary").dropDuplicates(["node"]), "near-units")
@@ -299,8 +304,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     torn = materialize(split.join(top.select("clump", F.col("top.component").alias("main"), "all"), "clump"), "near-torn")
     # Texts outside the clump's main component against all of the clump, in blocks.
     blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    # Small clumps share a cell; a large one is dealt over blocks x blocks cells.
-    lot = F.when(blocks == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("clump"), F.lit(512)).cast("string"))).otherwise(F.concat(F.lit("c"), F.col("clump").cast("string")))
+    # Small clumps share a cell, of some CELL_TEXTS texts; a large one is dealt over blocks x blocks cells.
+    shared_cells = max(64, torn.count() // CELL_TEXTS)
+    lot = F.when(blocks == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("clump"), F.lit(shared_cells)).cast("string"))).otherwise(F.concat(F.lit("c"), F.col("clump").cast("string")))
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = torn.select("clump", "node", "component", "main", blocks.alias("blocks"), lot.alias("lot"), mine.alias("mine"))
     rest = dealt.where("component <> main").select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -310,6 +316,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     cells = rest.unionAll(whole).join(unit_rows, "node").select("cell", "clump", "side", "node", "component", "units")
     more = cells.groupBy("cell").applyInArrow(_block_links, "a long, b long")
     second = materialize(more, "near-more")
+    discard(torn, unit_rows)
     joined = links.select("a", "b").unionAll(second)
     final = components(inside, joined, "near-final")
     out = members.join(final, "node", "left")

@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, small_batches, table
+from .common import discard, materialize, slices, small_batches, table
 from .rolling import signed, windows, word_hashes
 
 WINDOW, ANCHOR = 50, 20
@@ -137,6 +137,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     shared = materialize(places.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor"), "repeats-shared")
     wanted = places.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("shared"))
     touched = materialize(rows.where("text IS NOT NULL").join(wanted, ["doc_id", "th"]), "repeats-touched")
+    discard(places, shared)
     counted = materialize(_map(touched.select("doc_id", "text", "shared"), _window_rows, "anchor long, h long, doc_id long"), "repeats-windows")
     firsts = materialize(counted.groupBy("anchor", "h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor", "h", "a"), "repeats-firsts")
     gone = counted.join(firsts, ["anchor", "h"]).where("doc_id > a").groupBy("doc_id").agg(F.collect_set("h").alias("gone"))
