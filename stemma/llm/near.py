@@ -235,28 +235,40 @@ def _block_links(table_: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def components(nodes: DataFrame, edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
     """(node, component) with the least node of each component, for every node; edges have a and b.
 
-    Each round, every node takes the least label among its neighbours', and
-    labels are shortened by following them once; rounds end when none changes.
+    Each round hooks every node to its least neighbour, follows the hooks to
+    their roots, and goes on with the edges between different roots, which are
+    far fewer; it ends when there are none.
     """
-    both = materialize(edges.select("a", "b").unionAll(edges.selectExpr("b AS a", "a AS b")).distinct(), f"{label}-edges")
-    written = current = materialize(both.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")), label)
-    for _ in range(rounds):
-        near = both.join(current, both.b == current.node).groupBy("a").agg(F.min("component").alias("near"))
-        stepped = current.join(near, current.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        heads = current.select(F.col("node").alias("head"), F.col("component").alias("above"))
-        after = materialize(stepped.join(heads, F.col("component") == F.col("head"), "left").select("node", "old", F.least("component", "above").alias("component")), label)
-        changed = after.where("old <> component").limit(1).count()
-        discard(written)
-        written, current = after, after.select("node", "component")
-        if not changed:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    discard(both)
-    return nodes.select("node").join(current, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left = materialize(edges.where("a <> b").select(low, high).distinct(), f"{label}-edges")
+    found: DataFrame | None = None
+    while not left.isEmpty():
+        both = left.unionAll(left.selectExpr("b AS a", "a AS b"))
+        up = materialize(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("node"), F.least("a", "near").alias("root")), label)
+        while True:
+            above = up.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            after = materialize(up.join(above, "root").select("node", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), label)
+            settled = after.where("moved").isEmpty()
+            discard(up)
+            up = after
+            if settled:
+                break
+        of_a, of_b = up.selectExpr("node AS a", "root AS ra"), up.selectExpr("node AS b", "root AS rb")
+        ends = left.join(of_a, "a").join(of_b, "b").selectExpr("ra AS a", "rb AS b").where("a <> b")
+        rest = materialize(ends.select(low, high).distinct(), f"{label}-edges")
+        here = up.select("node", "root")
+        if found is not None:
+            later = here.selectExpr("node AS root", "root AS above")
+            here = found.join(later, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+        known, found = found, materialize(here, label)
+        discard(left, up, *([] if known is None else [known]))
+        left = rest
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def _verified(pairs: DataFrame, unit_rows: DataFrame) -> DataFrame:

@@ -99,6 +99,18 @@ def test_a_large_clump_keeps_its_links(spark):
     assert {r.row: r.class_id for r in got.collect()} == wanted
 
 
+def test_components(spark):
+    rng = random.Random(6)
+    edges = [(k, k + 1) for k in range(0, 40)] + [(500, rng.randrange(400, 600)) for _ in range(80)] + [(rng.randrange(700, 900), rng.randrange(700, 900)) for _ in range(120)] + [(3, 3), (5, 4)]
+    up = near._Union()
+    for a, b in edges:
+        up.join(a, b)
+    nodes = spark.range(1000).withColumnRenamed("id", "node")
+    got = {r.node: r.component for r in near.components(nodes, spark.createDataFrame(edges, "a long, b long"), "test").collect()}
+    assert got == {k: up.find(k) for k in range(1000)}
+    assert near.components(nodes, spark.createDataFrame([], "a long, b long"), "test").where("node <> component").isEmpty()
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     for share in (0.3, 0.6, 0.9):
