@@ -9,7 +9,16 @@ import sys
 from .functions.languages import is_known
 from .operators import views
 
-FOUND, USAGE, BARREN, FAILED = 0, 2, 1, 4
+#: Exit codes; 2 is argparse's, for a wrong command line.
+FOUND, WRONG, NOT_FOUND, UNREACHABLE = 0, 1, 3, 4
+
+EXPLAINED = {
+    "ENTRY_MISSING": "There is no page «{word}» among these pages. Is it spelt so, and is --language right?",
+    "LANGUAGE_MISSING": "The page «{word}» has no section for «{language}»; --language names another.",
+    "FORM_NOT_GIVEN": "The entry «{word}» names the language of its source, but not the form.",
+    "ETYMOLOGY_MISSING": "The entry «{word}» records no etymology that can be read.",
+    "NOT_INTERPRETED": "The entry «{word}» tells its origin in prose only, shown as it stands.",
+}
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
@@ -53,20 +62,69 @@ def _cache(spark, a: argparse.Namespace) -> int:
     if a.clear_cache:
         done, message = cache.clear()
         print(message)
-        return FOUND if done else FAILED
+        return FOUND if done else WRONG
     print("{} pages{}, {:.2f} MB".format(*((cache.prune()[0], " removed", cache.stats()[1]) if a.prune_cache else (cache.stats()[0], "", cache.stats()[1]))))
     return FOUND
 
 
+def look_up(engine, a: argparse.Namespace, word: str) -> int:
+    """Print one word's history; diagnostics go to the other stream."""
+    from .operators.walk import SourceError
+
+    try:
+        found = engine.senses(word, a.language) if a.senses or a.sense is None else []
+        if a.senses:
+            print(views.senses_menu(word, found))
+            return FOUND if found else NOT_FOUND
+        told = [s for s in found if s[5]]
+        sense = a.sense or (told[0][0] if told else 1)
+        if len(told) > 1:
+            print(f"{len(told)} etymologies; following number {sense} (--sense chooses)", file=sys.stderr)
+        result = engine.reconstruct(word, a.language, sense=sense, follow_lemma=not a.as_written, as_lemma=a.as_lemma)
+    except SourceError as e:
+        print(f"{e} could not be fetched", file=sys.stderr)
+        return UNREACHABLE
+    if len(result.history.options) > 1 and not a.as_lemma:
+        print(views.targets_menu(word, result.history.options), file=sys.stderr)
+    root = result.history.rows[0]
+    barren = len(result.history.rows) == 1 and root.terminal is not None and not views.V.TERMINALS[root.terminal][2]
+    quiet = barren and not root.source_text and root.terminal != "FORM_NOT_GIVEN"
+    color = not a.no_color and "NO_COLOR" not in os.environ and os.environ.get("TERM") != "dumb" and sys.stdout.isatty()
+    if a.json:
+        print(result.json(senses=told if len(told) > 1 else None))
+    elif not quiet:
+        print(result.chain(color) if a.chain else result.tree(color))
+    if barren:
+        print(EXPLAINED.get(root.terminal, "Nothing is told of «{word}».").format(word=word, language=a.language), file=sys.stderr)
+    return NOT_FOUND if barren else FOUND
+
+
+def converse(engine, a: argparse.Namespace) -> int:
+    """A word a line, or ``:l CODE`` for another language; an empty line or ``:q`` ends."""
+    code = FOUND
+    for line in sys.stdin:
+        word = line.strip()
+        if word in ("", ":q"):
+            break
+        if word.startswith(":l "):
+            if is_known(word[3:].strip()):
+                a.language = word[3:].strip()
+            else:
+                print(f"«{word[3:].strip()}» is not in the table of languages", file=sys.stderr)
+            continue
+        code = look_up(engine, a, word)
+    return code
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     a = arguments(argv)
     wrong = problem(a)
     upkeep = a.clear_cache or a.prune_cache or a.cache_stats
-    if not wrong and not upkeep and not (a.word and a.pages):
-        wrong = "a word and --pages are needed"
+    if not wrong and not upkeep and not a.pages:
+        wrong = "--pages is needed"
     if wrong:
         print(wrong, file=sys.stderr)
-        return USAGE
+        return WRONG
     if spark is None:
         from pyspark.sql import SparkSession
 
@@ -74,30 +132,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if upkeep:
         return _cache(spark, a)
     from .engine import Engine
-    from .operators.walk import SourceError
     from .sources.pages import from_files
 
-    try:
-        engine = Engine(spark, from_files(spark, a.pages), max_depth=a.depth, follow_compounds=not a.no_compounds)
-        found = engine.senses(a.word, a.language) if a.senses or a.sense is None else []
-        if a.senses:
-            print(views.senses_menu(a.word, found))
-            return FOUND if found else BARREN
-        told = [s for s in found if s[5]]
-        sense = a.sense or (told[0][0] if told else 1)
-        if len(told) > 1:
-            print(f"{len(told)} etymologies; following number {sense} (--sense chooses)", file=sys.stderr)
-        result = engine.reconstruct(a.word, a.language, sense=sense, follow_lemma=not a.as_written, as_lemma=a.as_lemma)
-    except SourceError as e:
-        print(e, file=sys.stderr)
-        return FAILED
-    if len(result.history.options) > 1 and not a.as_lemma:
-        print(views.targets_menu(a.word, result.history.options), file=sys.stderr)
-    color = not a.no_color and "NO_COLOR" not in os.environ and os.environ.get("TERM") != "dumb" and sys.stdout.isatty()
-    print(result.json(senses=told if len(told) > 1 else None) if a.json else result.chain(color) if a.chain else result.tree(color))
-    root = result.history.rows[0]
-    linguistic = {t for t, row in views.V.TERMINALS.items() if row[2]}
-    return BARREN if len(result.history.rows) == 1 and root.terminal and root.terminal not in linguistic else FOUND
+    engine = Engine(spark, from_files(spark, a.pages), max_depth=a.depth, follow_compounds=not a.no_compounds)
+    return look_up(engine, a, a.word) if a.word else converse(engine, a)
 
 
 if __name__ == "__main__":

@@ -254,7 +254,7 @@ def test_stream(spark, tmp_path):
     assert ingest.activity(cache.read().select("title", "fetched_at")).agg(F.sum("changes")).first()[0] == 2
 
 
-def test_command_line(spark, tmp_path, capsys):
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
     path = str(tmp_path / "p")
     P.from_dict(spark, PAGES).write.parquet(path)
 
@@ -267,11 +267,18 @@ def test_command_line(spark, tmp_path, capsys):
     code, out = run("fuoco", "--json")
     assert code == 0 and json.loads(out.out)["steps"] == 2
     code, out = run("none", "-c")
-    assert code == 1 and "no Wiktionary entry" in out.out
-    assert run("fuoco", "-d", "0")[0] == run("fuoco", "-l", "qxx")[0] == run("fuoco", "--cache-ttl", "-1")[0] == 2
-    assert cli.main([], spark) == 2
+    assert code == 3 and out.out == "" and "«none»" in out.err
+    code, out = run("none", "-j")
+    assert code == 3 and json.loads(out.out)["tree"]["terminal"]["type"] == "entry_missing"
+    assert run("fuoco", "-d", "0")[0] == run("fuoco", "-l", "qxx")[0] == run("fuoco", "--cache-ttl", "-1")[0] == 1
+    assert cli.main([], spark) == 1
     assert run("fuoco", "--senses")[0] == 0
     assert cli.main(["--cache-stats", "--cache", str(tmp_path / "c")], spark) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["x", "-c", "-j"], spark)
+    monkeypatch.setattr("sys.stdin", io.StringIO("capo\n:l la\nfocus\n:q\nnever\n"))
+    code, out = run()
+    assert "capo (it)" in out.out and "focus (la)" in out.out and "never" not in out.out
 
 
 def test_sql_surface(spark, engine):
