@@ -7,8 +7,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 _REFERENCE = re.compile(r"<ref(?:\s[^>]*)?/>|<ref(?:\s[^>]*)?>.*?</ref>", re.S | re.I)
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -16,6 +17,8 @@ _TAG = re.compile(r"</?(?:small|sup|sub|span|div|nowiki|i|b)(?:\s[^>]*)?/?>", re
 _EXTERNAL = re.compile(r"\[(?:https?:)?//\S+?(?:\s+([^\]]*))?\]")
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 _MARKER = re.compile(r"^[*#:;]+", re.M)
+#: Text without any of these is plain already.
+_SPECIAL = re.compile(r"[<{\['&]|^[*#:;]", re.M)
 _BRACES = re.compile(r"\{\{|\}\}")
 
 
@@ -62,6 +65,8 @@ def _spans(text: str) -> list[tuple[int, int]]:
 
 def _split(text: str, mark: str, most: int = -1) -> list[str]:
     """Split at ``mark`` outside nested templates and links."""
+    if "{{" not in text and "[[" not in text:
+        return text.split(mark, most)
     out, depth, at, k = [], 0, 0, 0
     while k < len(text):
         two = text[k : k + 2]
@@ -96,6 +101,8 @@ def read_template(raw: str) -> Template:
 
 def _hide_annotations(part: str) -> str:
     """The same text with <…> blanked, so that an equals sign in an annotation names no parameter."""
+    if "<" not in part:
+        return part
     out, depth = [], 0
     for k, c in enumerate(part):
         if c == "<":
@@ -106,16 +113,19 @@ def _hide_annotations(part: str) -> str:
     return "".join(out) if not depth else part
 
 
-def nodes(text: str) -> Iterator[str | Template]:
-    """Text and top-level templates in order."""
+@lru_cache(maxsize=256)
+def nodes(text: str) -> tuple[str | Template, ...]:
+    """Text and top-level templates in order. The same body is asked for several times."""
+    out: list[str | Template] = []
     at = 0
-    for s, e in _spans(text):
+    for s, e in _spans(text) if "{{" in text else ():
         if s > at:
-            yield text[at:s]
-        yield read_template(text[s:e])
+            out.append(text[at:s])
+        out.append(read_template(text[s:e]))
         at = e
     if at < len(text):
-        yield text[at:]
+        out.append(text[at:])
+    return tuple(out)
 
 
 def templates(text: str) -> list[Template]:
@@ -142,6 +152,8 @@ def _link_text(m: re.Match) -> str:
 
 def strip_markup(text: str) -> str:
     """Plain text: links give their label, templates go, quotes and list markers go, entities are decoded."""
+    if not _SPECIAL.search(text):
+        return text
     text = replace_templates(strip_noise(text), lambda t: "")
     while True:
         linked = _LINK.sub(_link_text, text)

@@ -274,7 +274,7 @@ t(word_id, lemma, depth) AS (SELECT child, child, 0 FROM e WHERE child LIKE 'c%'
 SELECT word_id, lemma, depth FROM t""")
 def recursive_reachability(spark, sf):
     """All ancestors by a recursive query over the parsed links."""
-    read = S.read_pages(K.geography(spark, sf))
+    read = H.materialize(S.read_pages(K.geography(spark, sf)), "read")
     links = S.steps(read, "it").unionAll(S.steps(read, "la")).where("lemma <> ''")
     return spark.sql(
         """WITH RECURSIVE t(word_id, lemma, depth) MAX RECURSION LEVEL 20 AS (
