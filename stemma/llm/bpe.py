@@ -49,6 +49,30 @@ SELECT word, string_agg(tokens.id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg
 FROM tokens JOIN vocabulary ON tokens.id = vocabulary.id WHERE NOT live GROUP BY word
 """
 
+# The same for long words: a round contracts every occurrence of the least pair, not
+# overlapping, from the left. That is the same result where no pair with the union has a
+# lower rank than the union itself ("sure"); otherwise only the leftmost goes.
+_ENCODE_LONG = """
+WITH RECURSIVE tokens(word, pos, id, live) AS (
+  SELECT word, pos, id, TRUE FROM bytes
+  UNION ALL
+  SELECT word, pos, CASE WHEN goes THEN best ELSE id END, best IS NOT NULL
+  FROM (SELECT *, lag(goes) OVER (PARTITION BY word ORDER BY pos) AS taken
+        FROM (SELECT *, hit AND CASE WHEN sure THEN row_number() OVER (PARTITION BY word, hit, island ORDER BY pos) % 2 = 1 OR id <> next
+                                     ELSE row_number() OVER (PARTITION BY word, hit ORDER BY pos) = 1 END AS goes
+              FROM (SELECT *, place - row_number() OVER (PARTITION BY word, hit ORDER BY pos) AS island
+                    FROM (SELECT *, coalesce(pair = best, FALSE) AS hit, row_number() OVER (PARTITION BY word ORDER BY pos) AS place
+                          FROM (SELECT a.*, merges.id AS pair, coalesce(merges.sure, FALSE) AS sure, min(merges.id) OVER (PARTITION BY word) AS best
+                                FROM (SELECT word, pos, id, lead(id) OVER (PARTITION BY word ORDER BY pos) AS next FROM tokens WHERE live) a
+                                LEFT JOIN merges ON a.id = merges.first AND a.next = merges.second)))))
+  WHERE taken IS NOT TRUE
+)
+SELECT word, string_agg(tokens.id::VARCHAR, ' ' ORDER BY pos) AS ids, string_agg(vocabulary.hex, '' ORDER BY pos) AS decoded
+FROM tokens JOIN vocabulary ON tokens.id = vocabulary.id WHERE NOT live GROUP BY word
+"""
+#: Bytes from which a word counts as long.
+LONG = 100
+
 
 def read_ranks(path: str | None) -> dict[bytes, int]:
     if path is None:
@@ -81,7 +105,11 @@ class Codec:
         self.db.execute("SET memory_limit = '256MB'")
         self.db.execute(f"SET temp_directory = '{os.path.join(tempfile.gettempdir(), f'stemma-bpe-{os.getpid()}')}'")
         kinds = pa.int32()
-        self._table("merges", {n: pa.array([p[k] for p in pairs], kinds) for k, n in enumerate(("first", "second", "id"))})
+        least: dict[int, int] = {}  # the lowest rank of a pair that a token takes part in
+        for a, b, i in pairs:
+            least[a], least[b] = min(i, least.get(a, i)), min(i, least.get(b, i))
+        columns = {n: pa.array([p[k] for p in pairs], kinds) for k, n in enumerate(("first", "second", "id"))}
+        self._table("merges", columns | {"sure": [least.get(i, i + 1) > i for _, _, i in pairs]})
         self._table("vocabulary", {"id": pa.array(list(self.ranks.values()), kinds), "hex": [t.hex() for t in self.ranks]})
 
     def _table(self, name: str, columns: dict) -> None:
@@ -97,7 +125,7 @@ class Codec:
         at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         ids = np.array(self.first, np.int32)[np.frombuffer(b"".join(raw), np.uint8)]
         self._table("bytes", {"word": np.repeat(np.arange(len(raw), dtype=np.int32), n), "pos": at, "id": ids})
-        out = self.db.sql(_ENCODE).to_arrow_table()
+        out = self.db.sql(_ENCODE_LONG if n.max() >= LONG else _ENCODE).to_arrow_table()
         for k, encoded, decoded in zip(out["word"].to_pylist(), out["ids"].to_pylist(), out["decoded"].to_pylist()):
             self.known[words[k]] = encoded, bytes.fromhex(decoded)
 
@@ -115,8 +143,10 @@ class Codec:
                 else:
                     todo.append(w)
         todo.sort(key=len)
-        for k in range(0, len(todo), QUERY_WORDS):
-            self._contract(todo[k : k + QUERY_WORDS])
+        cut = next((k for k, w in enumerate(todo) if len(w) * 4 >= LONG), len(todo))
+        for part in (todo[:cut], todo[cut:]):
+            for k in range(0, len(part), QUERY_WORDS):
+                self._contract(part[k : k + QUERY_WORDS])
 
     def encode_all(self, texts: list[str]) -> list[tuple[str, bytes]]:
         """For each text its decimal ids joined by one space, and the bytes those ids decode to."""

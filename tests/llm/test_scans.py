@@ -186,6 +186,22 @@ def test_tokens_equal_the_library(docs, texts, nothing, spark):
     assert bpe.token_digests(nothing).count() == 0
 
 
+def test_long_words():
+    """Runs without a break, which take one round for each rank and not for each merge."""
+    import random
+
+    import public_tokenizers
+    import tiktoken
+
+    codec = bpe.codec()
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(0)
+    words = ["a" * n for n in (100, 101, 4096, 30001)] + ["=" * 5001, "ab" * 3000, "aab" * 2000, "é" * 999]
+    words += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "thing", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz") for n in (120, 700, 5000)]
+    for w, (ids, decoded) in zip(words, codec.encode_all(words)):
+        assert ids == " ".join(map(str, encoding.encode_ordinary(w))) and decoded == w.encode()
+
+
 def test_forgotten_words_are_encoded_anew():
     codec = bpe.Codec(cache_words=20)
     texts = [f"unheard{k} ofwords{k}" for k in range(30)]
