@@ -296,7 +296,7 @@ def terminal_tally(spark, sf):
     return H.terminal_tally(H.nodes(_geography(spark, sf)), V.terminals_df(spark))
 
 
-@query("SELECT 'c' || c_custkey AS word_id, 2 AS steps, 3 AS nodes, 1 AS skips FROM customer")
+@query("SELECT 'c' || c_custkey AS word_id, 2 AS steps, 3::BIGINT AS nodes, 1::BIGINT AS skips FROM customer")
 def depth_stats(spark, sf):
     return H.depths(H.nodes(_geography(spark, sf)))
 
