@@ -270,7 +270,8 @@ def best_cut(z: np.ndarray, gold: np.ndarray) -> float:
 
 
 def remainder(column: str = "doc_id"):
-    return F.crc32(F.col(column).cast("string").cast("binary")) % 3
+    """What decides whether a row's label may be learned from; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 3
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
