@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from .common import map_texts, table
 
 #: Words that a worker keeps: about 350 bytes each.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_000_000
 #: The same where other work has filled the executors before.
 SMALL_CACHE = 200_000
 #: Characters of text that are cut into words at a time, and words in one recursive query.
-RUN_CHARS, QUERY_WORDS = 2_000_000, 100_000
+RUN_CHARS, QUERY_WORDS = 4_000_000, 100_000
 
 # One contraction per word and round. A pair's rank is the id of its union; rank
 # and position share a number, so that min() finds the leftmost pair of least rank.
@@ -143,8 +143,11 @@ class Codec:
                 else:
                     todo.append(w)
         todo.sort(key=len)
-        cut = next((k for k, w in enumerate(todo) if len(w) * 4 >= LONG), len(todo))
-        for part in (todo[:cut], todo[cut:]):
+        long = [w for w in todo if 4 * len(w) >= LONG and len(w.encode()) >= LONG]
+        if long:
+            apart = set(long)
+            todo = [w for w in todo if w not in apart]
+        for part in (todo, long):
             for k in range(0, len(part), QUERY_WORDS):
                 self._contract(part[k : k + QUERY_WORDS])
 
@@ -226,7 +229,7 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 out["decoded_sha256"].append(hashlib.sha256(decoded).hexdigest())
         return out
 
-    return map_texts(docs, digest, DIGESTS)
+    return map_texts(docs, digest, DIGESTS, most=RUN_CHARS)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:

@@ -60,29 +60,29 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds at most ``SLICE_BYTES`` of text, or one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if batch.nbytes > SLICE_BYTES else []
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds at most ``most`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist() if batch.nbytes > most else []
     if not sizes:
         if batch.num_rows:
             yield batch
         return
     start = held = 0
     for i, n in enumerate(sizes):
-        if held and held + n > SLICE_BYTES:
+        if held and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
     yield batch.slice(start)
 
 
-def map_texts(docs: DataFrame, fn: Callable[[list, list], dict], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def map_texts(docs: DataFrame, fn: Callable[[list, list], dict], schema: str, id_col: str = "doc_id", text_col: str = "text", most: int = SLICE_BYTES) -> DataFrame:
     """Apply ``fn(ids, texts) -> {column: values}`` to bounded runs of rows; other columns are not read."""
     arrow_schema = _arrow(docs.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 out = fn(part.column("doc_id").to_pylist(), part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in arrow_schema], schema=arrow_schema)
             del batch
