@@ -1,19 +1,24 @@
 """Benchmark decontamination by CGK embeddings and bit-sampling LSH.
 
 Texts and items are reduced to words (lower-cased; ASCII punctuation separates).
-An item of n words matches a document if some window of n words is within
-``RATE`` * n word edits of it. Windows are embedded by the random walk of
+An item of n words matches a document if some passage, of any length, is within
+k = ``RATE`` * n word edits of it (``passages``), or if some window of n words is
+(``contaminated``). Windows of n words are embedded by the random walk of
 Chakraborty, Goldenberg and Koucky: a pointer reads a word at each of 3n steps
 and moves on if a random bit, chosen by step and word, says so. Few edits then
 change few embedded positions. Each repetition samples ``BITS`` positions of an
 embedding as a bucket key; ``REPEATS`` of them meet the target recall, which
-the tests measure. What collides is verified by exact edit distance.
+the tests measure. What collides is verified by exact edit distance: for passages,
+the least over all that lie within k words of the window.
 
 Before embedding, a lossless test: within k edits of an item, all but k of the
 item's words stand in the window. So n - k of the window's words must be words
 of some item; and of the rarer words that items of n words have, the window must
 have all but k of the fewest that one of them has. Few windows pass both; equal
-ones among them are embedded once per batch.
+ones among them are embedded once per batch. A passage within k edits lies in, or
+around, a window that passes: what a passage of more than n words has beyond the
+window are as many words as were inserted, less those dropped. Windows hang over
+the ends of a document by up to k words, so that a text shorter than an item has one.
 
 The items are held by each worker, at most ``BLOCK_ITEMS`` at a time; a larger
 benchmark is taken in blocks against all documents.
@@ -65,6 +70,30 @@ def edit_distance(masks: dict[int, int], n: int, window: list[int]) -> int:
     return distance
 
 
+def best_passage(masks: dict[int, int], n: int, region: list[int], most: int) -> tuple[int, int, int] | None:
+    """(edits, start, words) of the passage of ``region`` nearest to an item, if within ``most``: the earliest, then shortest, of equals."""
+    turned = {w: int(format(m, f"0{n}b")[::-1], 2) for w, m in masks.items()}
+    full, last = (1 << n) - 1, 1 << (n - 1)
+    up, down, distance, best = full, 0, n, (most + 1, 0)
+    for s in range(len(region) - 1, -1, -1):  # backwards, where a match may begin at any word: the distance is that of the best passage from s
+        eq = turned.get(region[s], 0)
+        x = eq | down
+        diagonal = (((x & up) + up) ^ up) | x
+        plus, minus = down | (full & ~(diagonal | up)), up & diagonal
+        if plus & last:
+            distance += 1
+        if minus & last:
+            distance -= 1
+        plus, minus = plus << 1, minus << 1
+        up, down = (minus | ~(diagonal | plus)) & full, plus & diagonal & full
+        best = min(best, (distance, s))
+    edits, start = best
+    if edits > most:
+        return None
+    words = next(m for m in range(max(1, n - edits), n + edits + 1) if edit_distance(masks, n, region[start : start + m]) == edits)
+    return edits, start, words
+
+
 def embed(flat: np.ndarray, starts: np.ndarray, n: int, seed: int, steps: np.ndarray) -> np.ndarray:
     """Embedded values of the windows flat[s:s+n] at the given steps (ascending); 0 past the end."""
     at = np.zeros(len(starts), np.int64)
@@ -155,9 +184,12 @@ class Items:
             out.append(key)
         return out
 
-    def matches(self, texts: list) -> list[tuple[int, int, int, int, int]]:
-        """(text's place, item's place, first word, words, edits): the best window of each text and item, earliest of equals."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+    def matches(self, texts: list, whole: bool = False) -> list[tuple[int, int, int, int, int]]:
+        """(text's place, item's place, first word, words, edits): the best window of each text and item, earliest of equals.
+
+        With ``whole``, the best passage of any length.
+        """
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         run: list[tuple[int, list[bytes]]] = []
         held = 0
         for k, text in enumerate(texts):
@@ -167,17 +199,22 @@ class Items:
             run.append((k, words))
             held += len(words)
             if held >= RUN_WORDS:
-                self._scan(run, best)
+                self._scan(run, best, whole)
                 run, held = [], 0
         if run:
-            self._scan(run, best)
-        return [(d, i, s, len(self.rows[i][1]), x) for (d, i), (x, s) in sorted(best.items())]
+            self._scan(run, best, whole)
+        return [(d, i, s, n, x) for (d, i), (x, s, n) in sorted(best.items())]
 
-    def _scan(self, run: list[tuple[int, list[bytes]]], best: dict) -> None:
+    def _scan(self, run: list[tuple[int, list[bytes]]], best: dict, whole: bool) -> None:
+        if not self.lengths:
+            return
         known = self.vocabulary.get
-        codes = np.concatenate([np.array([known(w, 0) for w in ws], np.int32) for _, ws in run])
+        # more unknown words between documents than any window may have: none that reaches into two passes
+        tail = int(RATE * max(self.lengths)) + 1
+        gap = np.zeros(2 * tail, np.int32)
+        codes = np.concatenate([gap, *(x for _, ws in run for x in (np.array([known(w, 0) for w in ws], np.int32), gap))])
         size = len(codes)
-        ends = np.cumsum([len(ws) for _, ws in run])
+        ends = np.cumsum([len(ws) + len(gap) for _, ws in run])
         begins = ends - [len(ws) for _, ws in run]
         total = np.zeros(size + 1, np.int32)
         np.cumsum(codes > 0, out=total[1:])
@@ -187,20 +224,26 @@ class Items:
         for n in self.lengths:
             at = _starts(spots, spot_codes, *self.rare[n], n, size)
             at = at[total[at + n] - total[at] >= n - int(RATE * n)]
-            if len(at):
-                doc = np.searchsorted(ends, at, side="right")
-                at = at[at + n <= ends[doc]]
+            if len(at) and not whole:
+                doc = np.searchsorted(ends, at + n // 2, side="right")
+                at = at[(begins[doc] <= at) & (at + n <= ends[doc])]
             if len(at):
                 where[n] = at
         if not where:
             return
         mark = np.zeros(size + 1, np.int64)
         for n, at in where.items():
-            mark[at] += 1  # starts of one length differ
-            mark[at + n] -= 1
+            beyond = int(RATE * n) if whole else 0
+            np.add.at(mark, np.maximum(at - beyond, 0), 1)
+            np.add.at(mark, np.minimum(at + n + beyond, size), -1)
         flat = np.zeros(size, np.uint64)
         places = np.flatnonzero(np.cumsum(mark[:-1]))
+        places = places[places < ends[-1]]
         doc_of = np.searchsorted(ends, places, side="right")
+        inside = places >= begins[doc_of]
+        # before a text stand foreign words; after it, as past the end of an item, none, where a walk stays
+        flat[np.concatenate([[0], ends])[:, None] + np.arange(tail, 2 * tail)] = mix(np.arange(1, tail + 1, dtype=np.uint64))
+        places, doc_of = places[inside], doc_of[inside]
         flat[places] = word_hashes([run[d][1][p - begins[d]] for d, p in zip(doc_of.tolist(), places.tolist())])
         sums = prefix_sums(flat)
         for n, at in where.items():
@@ -218,6 +261,9 @@ class Items:
             for p, w in zip(at.tolist(), back.ravel().tolist()):
                 if w in found:
                     places_of[w].append(p)
+            if whole:
+                self._verify_regions(n, found, places_of, flat, begins, ends, run, best)
+                continue
             for w, items in found.items():
                 window = flat[starts[w] : starts[w] + n].tolist()
                 for i in items:
@@ -225,10 +271,35 @@ class Items:
                     if edits <= int(RATE * n):
                         for p in places_of[w]:
                             d = int(np.searchsorted(ends, p, side="right"))
-                            key, value = (run[d][0], i), (edits, int(p - begins[d]))
+                            key, value = (run[d][0], i), (edits, int(p - begins[d]), n)
                             if key not in best or value < best[key]:
                                 best[key] = value
 
+    def _verify_regions(self, n: int, found: dict, places_of: dict, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray, run: list, best: dict) -> None:
+        """The best passage around the windows that collide with an item; windows whose surroundings overlap are taken as one."""
+        most = int(RATE * n)
+        starts_of: dict[int, list[int]] = defaultdict(list)
+        for w, items in found.items():
+            for i in items:
+                starts_of[i] += places_of[w]
+        seen: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
+        for i, starts in starts_of.items():
+            at = np.sort(np.array(starts))
+            doc = np.searchsorted(ends, at + n // 2, side="right")  # at most k words of a window lie outside
+            low, high = np.maximum(at - most, begins[doc]), np.minimum(at + n + most, ends[doc])
+            first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
+                d, begin = int(doc[a]), int(low[a])
+                region = flat[begin : int(high[b - 1])]
+                content = i, region.tobytes()
+                if content not in seen:
+                    seen[content] = best_passage(self.masks[i], n, region.tolist(), most)
+                if seen[content]:
+                    edits, start, words = seen[content]
+                    key, value = (run[d][0], i), (edits, begin + start - int(begins[d]), words)
+                    if key not in best or value < best[key]:
+                        best[key] = value
+
 
 def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
     """The items in blocks of at most ``BLOCK_ITEMS``; null ids and texts match nothing."""
@@ -255,17 +326,17 @@ def _index(rows: list[tuple[int, str]]) -> Items:
     return _items[key]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
     """A row for each document and item that match: the window with the fewest edits, the earliest of equals.
 
-    Null and empty texts match nothing. Rows that repeat an id give its rows again.
+    With ``whole``, the passage of any length. Null and empty texts match nothing. Rows that repeat an id give its rows again.
     """
     parts = []
     for rows in benchmark_blocks(benchmark):
 
         def scan(ids: list, texts: list, rows=rows) -> dict:
             index = _index(rows)
-            found = index.matches(texts)
+            found = index.matches(texts, whole)
             return {
                 "doc_id": [ids[m[0]] for m in found],
                 "item_id": [index.rows[m[1]][0] for m in found],
@@ -284,12 +355,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage."""
+def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``contaminated`` by passages of any length."""
+    return contaminated(docs, benchmark, True)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark passage: of an item's number of words, or with ``whole`` of any."""
     for rows in benchmark_blocks(benchmark):
 
         def clean(texts: list, rows=rows) -> list:
-            hit = {m[0] for m in _index(rows).matches(texts)}
+            hit = {m[0] for m in _index(rows).matches(texts, whole)}
             return [k not in hit for k in range(len(texts))]
 
         docs = filter_texts(docs, clean)
@@ -297,4 +373,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -187,6 +187,52 @@ def test_contaminated(spark, nothing):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def plain_passages(texts, items):
+    """The least edits between an item and any passage of a text, where within the bound."""
+    out = {}
+    for i, t in texts:
+        for j, item in items:
+            x = decontaminate.words_of(item)
+            row = [0] * (len(w := decontaminate.words_of(t)) + 1)
+            for k, a in enumerate(x, 1):
+                new = [k]
+                for m, b in enumerate(w, 1):
+                    new.append(min(row[m] + 1, new[-1] + 1, row[m - 1] + (a != b)))
+                row = new
+            if min(row) <= int(decontaminate.RATE * len(x)):
+                out[i, j] = min(row)
+    return out
+
+
+def test_passages_of_any_length(spark, tmp_path):
+    rng = random.Random(12)
+    items = [(k, " ".join(f"{rng.choice(WORDS)}{rng.randrange(30)}" for _ in range(rng.randint(10, 45)))) for k in range(30)]
+    rows = []
+    for k in range(120):
+        words = items[k % 30][1].split()
+        for _ in range(rng.randint(1, len(words) // 5)):
+            p = rng.randrange(len(words))
+            words[p : p + 1] = [] if k % 2 else [words[p], f"q{k}"]
+        rows.append((k, " ".join(words) if k % 3 == 0 else f"{prose(rng, 30)} {' '.join(words)} {prose(rng, 30)}"))
+    rows += [(200 + k, items[k][1].split(" ", 1)[1]) for k in range(30)] + [(300, None), (301, ""), (302, prose(rng, 300))]
+    wanted = plain_passages(rows, items)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.QUERIES["op8_decontaminate"](spark, str(tmp_path)).collect()
+    found = {(r.doc_id, r.item_id): r.edits for r in got}
+    assert set(found) <= set(wanted) and len(found) == len(got)
+    assert sum(found.get(k) == v for k, v in wanted.items()) >= 0.95 * len(wanted)  # the target recall
+    assert all(found.get((200 + k, k)) == 1 for k in range(30))  # a text that is shorter than its item
+    texts, passages = dict(rows), dict(items)
+    for r in got:
+        passage = decontaminate.words_of(texts[r.doc_id])[r.start_word : r.start_word + r.n_words]
+        assert len(passage) == r.n_words and plain_distance(decontaminate.words_of(passages[r.item_id]), passage) == r.edits
+    clean = decontaminate.drop_contaminated(docs, bench, whole=True)
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - {i for i, _ in found}
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 3)
     rng = random.Random(1)
