@@ -30,7 +30,7 @@ class Rule:
     base: bool = False
 
 
-# label | name as it stands in prose | SPDX identifier | place on the web | words that any form of it has
+# label | name as it stands in prose | SPDX identifier | place on the web | words that any form of the name has, or one of a|b
 FAMILIES = [
     ("apache-2.0", r"apache(?: software)? licen[sc]e(?: v(?:ersion)? ?)?(?: version)? 2(?: 0)?", r"apache 2 0", r"apache org licenses license 2 0", "apache"),
     ("apache-1.1", r"apache(?: software)? licen[sc]e(?: v(?:ersion)?)?(?: version)? 1 1", r"apache 1 1", r"apache org licenses license 1 1", "apache"),
@@ -43,7 +43,7 @@ FAMILIES = [
     ("isc", r"isc licen[sc]e", r"isc", r"opensource org licenses isc", "isc"),
     ("gpl-2.0", r"gnu (?:general public licen[sc]e|gpl)(?: as published by the free software foundation)? (?:v|version )?2(?: 0)?", r"gpl 2 0(?: only| or later)?", r"gnu org licenses (?:old licenses )?gpl 2 0", "gnu"),
     ("gpl-3.0", r"gnu (?:general public licen[sc]e|gpl)(?: as published by the free software foundation)? (?:v|version )?3(?: 0)?", r"gpl 3 0(?: only| or later)?", r"gnu org licenses gpl 3 0", "gnu"),
-    ("gpl-any", r"gnu gpl|gplv[123]|gnu general public licen[sc]e", r"gpl", r"gnu org (?:copyleft|licenses) gpl", "gnu"),
+    ("gpl-any", r"gnu gpl|gplv[123]|gnu general public licen[sc]e", r"gpl", r"gnu org (?:copyleft|licenses) gpl", "gnu|gplv1|gplv2|gplv3"),
     ("lgpl-2.1", r"(?:gnu )?(?:lesser|library) general public licen[sc]e (?:v|version )?2(?: [01])?", r"lgpl 2 1(?: only| or later)?", r"gnu org licenses (?:old licenses )?lgpl 2 1", "general"),
     ("lgpl-3.0", r"(?:gnu )?lesser general public licen[sc]e (?:v|version )?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", r"gnu org licenses lgpl 3 0", "general"),
     ("lgpl-any", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", r"lgpl", r"gnu org (?:copyleft|licenses) (?:lesser|lgpl)", "general"),
@@ -60,7 +60,7 @@ FAMILIES = [
     ("zlib", r"zlib(?: libpng)? licen[sc]e", r"zlib", r"zlib net zlib license", "zlib"),
     ("boost", r"boost software licen[sc]e(?: v| version)?(?: 1 0)?", r"bsl 1 0", r"boost org license 1 0", "boost"),
     ("unlicense", r"the unlicense", r"unlicense", r"unlicense org", "unlicense"),
-    ("wtfpl", r"do what the (?:fuck|f\w*) you want to public licen[sc]e", r"wtfpl", r"wtfpl net", "wtfpl"),
+    ("wtfpl", r"do what the (?:fuck|f\w*) you want to public licen[sc]e", r"wtfpl", r"wtfpl net", "public"),
     ("openssl", r"openssl licen[sc]e", r"openssl", r"openssl org source license", "openssl"),
     ("postgresql", r"postgresql licen[sc]e", r"postgresql", r"postgresql org about licence", "postgresql"),
     ("python", r"python software foundation licen[sc]e(?: version 2)?", r"(?:psf|python) 2 0", r"python org psf license", "python"),
@@ -95,7 +95,7 @@ FORMS = [
     ("name", r" (?:{name})(?= )", 3, 0.8, ""),
 ]
 
-# Notices that name no family: label | pattern | priority | confidence | keywords
+# Notices that name no family: label | pattern | priority | confidence | keywords, or one of a|b
 NOTICES = [
     ("notice-copyright", r" copyright (?:c )?(?:by )?(?:19|20)\d\d(?: (?:19|20)\d\d)*", 4, 0.6, "copyright"),
     ("notice-copyright", r" (?:19|20)\d\d copyright(?= )", 4, 0.55, "copyright"),
@@ -110,10 +110,10 @@ NOTICES = [
     ("public-domain", r" (?:released|placed|dedicated) (?:in|into|to) the public domain(?= )", 2, 0.9, "public domain"),
     ("public-domain", r" (?:is|are) in the public domain(?= )", 3, 0.7, "public domain"),
     ("proprietary", r" proprietary and confidential(?= )", 2, 0.85, "proprietary"),
-    ("proprietary", r" (?:may not|must not|no part of this \w+ may) be (?:reproduced|copied|redistributed)(?= )", 2, 0.85, "be"),
+    ("proprietary", r" (?:may not|must not|no part of this \w+ may) be (?:reproduced|copied|redistributed)(?= )", 2, 0.85, "reproduced|copied|redistributed"),
     ("proprietary", r" unauthori[sz]ed (?:copying|use|reproduction)(?: or distribution)?(?= )", 2, 0.8, ""),
     ("proprietary", r" reproduction (?:or distribution )?without (?:written )?permission(?= )", 2, 0.85, "reproduction"),
-    ("terms-of-use", r" (?:by using|use of) this (?:site|website|service) (?:you agree|constitutes acceptance)(?= )", 3, 0.7, "this"),
+    ("terms-of-use", r" (?:by using|use of) this (?:site|website|service) (?:you agree|constitutes acceptance)(?= )", 3, 0.7, "agree|acceptance"),
     ("terms-of-use", r" terms (?:of (?:use|service)|and conditions) (?:apply|of this)(?= )", 3, 0.5, "terms"),
     ("rights-some", r" some rights reserved(?= )", 3, 0.8, "rights reserved"),
     ("rights-fr", r" tous droits réservés(?= )", 3, 0.9, "droits"),
@@ -143,13 +143,13 @@ def build_rules() -> list[Rule]:
     for label, name, spdx, url, word in FAMILIES:
         for form, pattern, priority, confidence, also in FORMS:
             text = pattern.replace("{name}", name).replace("{spdx}", spdx).replace("{url}", url)
-            gates = [word] if word else [w.decode() for w in _CREATIVE]
+            gates = word.split("|") if word else [w.decode() for w in _CREATIVE]
             if form == "link":
                 gates = [url.replace("(", " ").split()[0]]
             elif form == "spdx":
                 gates = [""]  # the identifier need not spell the family's word
             rules += [Rule(label, priority, confidence, _keywords(f"{gate} {also}"), re.compile(text.encode())) for gate in gates]
-    rules += [Rule(label, priority, confidence, _keywords(also), re.compile(text.encode())) for label, text, priority, confidence, also in NOTICES]
+    rules += [Rule(label, priority, confidence, _keywords(gate), re.compile(text.encode())) for label, text, priority, confidence, also in NOTICES for gate in also.split("|")]
     return sorted(rules, key=lambda r: r.priority)
 
 

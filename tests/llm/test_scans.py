@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 import zlib
 
@@ -207,3 +208,47 @@ def test_forgotten_words_are_encoded_anew():
     texts = [f"unheard{k} ofwords{k}" for k in range(30)]
     first = [codec.encode_all([t])[0] for t in texts]
     assert first == [codec.encode_all([t])[0] for t in texts] and len(codec.known) <= 22
+
+
+def phrases(pattern, rng):
+    """A random text that the pattern matches, from its parsed form."""
+    out = b""
+    for op, arg in pattern:
+        match str(op):
+            case "LITERAL":
+                out += bytes([arg])
+            case "IN":
+                kind, value = rng.choice(arg)
+                out += (b"4" if "DIGIT" in str(value) else b"x") if str(kind) == "CATEGORY" else bytes([value if str(kind) == "LITERAL" else value[0]])
+            case "BRANCH":
+                out += phrases(rng.choice(arg[1]), rng)
+            case "SUBPATTERN":
+                out += phrases(arg[-1], rng)
+            case "MAX_REPEAT":
+                out += b"".join(phrases(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+            case "ASSERT":
+                pass
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_every_license_rule_is_found_by_its_phrase_alone():
+    rng = random.Random(8)
+    for pattern in {r.pattern.pattern: r.pattern for r in licenses.RULES}.values():
+        labels = {r.label for r in licenses.RULES if r.pattern is pattern or r.pattern.pattern == pattern.pattern}
+        for _ in range(60):
+            text = phrases(re._parser.parse(pattern.pattern), rng).decode()
+            assert pattern.match(text.encode() + b" "), text
+            words = licenses.word_form(text)
+            hits = licenses.KEYWORDS.intersection(words)
+            free = not licenses._LICENCE.isdisjoint(hits)
+            assert any(g <= hits if g else free for g, r in licenses._GATED if r.pattern.pattern == pattern.pattern), text
+            assert licenses.license_spans(text), (labels, text)
+    for text, label in (
+        ("No part of this book may be reproduced", "proprietary"),
+        ("By using this site you agree to them", "terms-of-use"),
+        ("It is GPLv3", "gpl-any"),
+        ("do what the fuck you want to public licence", "wtfpl"),
+    ):
+        assert label in {s[0] for s in licenses.license_spans(text)}
