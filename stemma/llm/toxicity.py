@@ -89,11 +89,12 @@ def _excess(a: int, b: int, share: float) -> float:
     return -n * (p * math.log(p / share) + rest)
 
 
-def mine(texts: list, gold: np.ndarray) -> list[bytes]:
+def mine(texts: list, gold: np.ndarray, rate: float = 1.0) -> list[bytes]:
     """Features that are commoner in toxic rows than chance allows, over all features tried; best first.
 
     Only features of three or more toxic rows are counted in the others, so that
-    memory follows the toxic rows' vocabulary.
+    memory follows the toxic rows' vocabulary. ``rate`` is how many times a row of
+    the others stands for as many rows as a toxic one; chance is that of the sample.
     """
     share = float(gold.mean()) if len(gold) else 0.0
     if not 0 < share < 1:
@@ -109,7 +110,7 @@ def mine(texts: list, gold: np.ndarray) -> list[bytes]:
         if not y:
             clean.update(toxic.keys() & features(t))
     cut, n_clean = math.log(0.01 / tried), max(1, int((gold == 0).sum()))
-    scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if clean[f] <= min(0.1 * a, 0.01 * n_clean)]
+    scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if clean[f] <= min(0.1 * a / rate, 0.01 * n_clean)]
     return [f for s, f in sorted(scored) if s < cut][:MOST_MINED]
 
 
@@ -129,27 +130,28 @@ class LabelModel:
             out += np.where(votes[:, i] == 1, np.log(one / zero), np.log((1 - one) / (1 - zero)))
         return out
 
-    def _estimate(self, votes: np.ndarray, post: np.ndarray) -> None:
-        self.prior = float(np.clip(post.mean(), 1e-3, 1 - 1e-3))
+    def _estimate(self, votes: np.ndarray, post: np.ndarray, weights: np.ndarray) -> None:
+        self.prior = float(np.clip(np.average(post, weights=weights), 1e-3, 1 - 1e-3))
         m = votes.shape[1]
         self.rate = np.empty((2, 2, m))
         for i in range(m):
             seen = votes[:, self.parent[i]] if self.parent[i] >= 0 else np.zeros(len(votes), int)
-            for y, w in ((0, 1 - post), (1, post)):
+            for y, w in ((0, weights * (1 - post)), (1, weights * post)):
                 for v in (0, 1):
                     k = w * (seen == v)
                     guess = 0.01 if y == 0 else 0.2
                     self.rate[y, v, i] = (k @ votes[:, i] + 2 * guess) / (k.sum() + 2)
         self.rate = np.clip(self.rate, 1e-4, 1 - 1e-4)
 
-    def fit(self, votes: np.ndarray, gold: np.ndarray, rounds: int = 12) -> np.ndarray:
-        """Posterior probability of the label for each row."""
+    def fit(self, votes: np.ndarray, gold: np.ndarray, rounds: int = 12, weights: np.ndarray | None = None) -> np.ndarray:
+        """Posterior probability of the label for each row; weights say how many rows each stands for."""
+        weights = np.ones(len(gold)) if weights is None else weights * (len(gold) / weights.sum())
         anchor = np.where(gold == 1, 1, -1) * math.log(GOLD_ACCURACY / (1 - GOLD_ACCURACY))
         post = 1 / (1 + np.exp(-anchor))
         # Dependences come first: taken as independent, voters that agree would outweigh the gold labels.
         self.parent = dependence_tree(votes, post)
         for _ in range(rounds):
-            self._estimate(votes, post)
+            self._estimate(votes, post, weights)
             post = 1 / (1 + np.exp(-np.clip(self.log_odds(votes) + anchor, -40, 40)))
         return post
 
@@ -209,11 +211,12 @@ def default_model() -> Model:
     return Model({}, {name: strong + 3 for name in [*_HAND, *PATTERNS]}, -3.0)
 
 
-def fit(texts: list, gold: np.ndarray) -> Model:
-    """Fit voters, label model and classifier on labelled texts."""
+def fit(texts: list, gold: np.ndarray, weights: np.ndarray | None = None) -> Model:
+    """Fit voters, label model and classifier on labelled texts; weights, the same within a label, say how many rows each stands for."""
     if len(gold) < 20 or not 0 < gold.sum() < len(gold):
         return default_model()
-    mined = mine(texts, gold)
+    stands = np.ones(len(gold)) if weights is None else weights
+    mined = mine(texts, gold, float(stands[gold == 0][0] / stands[gold == 1][0]))
     hand = list(_HAND)
     own = sorted(set(mined) | set().union(*_HAND.values()))
     index = {f: k for k, f in enumerate(own)}
@@ -226,7 +229,7 @@ def fit(texts: list, gold: np.ndarray) -> Model:
             votes[r, k] = not words.isdisjoint(f)
         for name in pattern_votes(t):
             votes[r, len(lexicons) + names.index(name)] = 1
-    post = LabelModel().fit(votes, gold)
+    post = LabelModel().fit(votes, gold, weights=stands)
     x = np.zeros((len(texts), len(own) + len(hand) + len(names)), np.float32)
     for r, f in enumerate(found):
         x[r, [index[w] for w in f]] = 1
@@ -234,7 +237,7 @@ def fit(texts: list, gold: np.ndarray) -> Model:
     x[:, len(own) + len(hand) :] = votes[:, len(lexicons) :]
     weights, bias = logistic(x, post)
     z = x @ weights + bias
-    shift = best_cut(z, gold) - math.log(THRESHOLD / (1 - THRESHOLD))
+    shift = best_cut(z, gold, stands) - math.log(THRESHOLD / (1 - THRESHOLD))
     plain = {f: float(weights[k]) for f, k in index.items() if abs(weights[k]) > 1e-6}
     return Model(plain, {n: float(weights[len(own) + k]) for k, n in enumerate([*hand, *names])}, float(bias - shift))
 
@@ -256,11 +259,12 @@ def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 1e-3, steps: int
     return beta.astype(float), float(bias)
 
 
-def best_cut(z: np.ndarray, gold: np.ndarray) -> float:
-    """The middle of the widest range of cuts with the best F1."""
+def best_cut(z: np.ndarray, gold: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The middle of the widest range of cuts with the best F1, of rows that stand for as many as ``weights`` says."""
+    weights = np.ones(len(z)) if weights is None else weights
     order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(gold[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + gold.sum())
+    hits = np.cumsum((weights * gold)[order])
+    f1 = 2 * hits / (np.cumsum(weights[order]) + weights @ gold)
     z = z[order]
     inner = np.append(z[:-1] > z[1:], True)  # a cut lies between different scores
     top = f1[inner].max()
@@ -275,17 +279,24 @@ def remainder(column: str = "doc_id"):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on at most ``SAMPLE`` labelled rows with remainder 0 or 2; rows with null ids or labels are left out."""
+    """Fit on at most ``SAMPLE`` labelled rows with remainder 0 or 2; rows with null ids or labels are left out.
+
+    Where a label has more rows, those picked stand for all of them, so that the
+    shares of the labels are the same at every size.
+    """
     usable = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(remainder() != 1)
+    usable = usable.distinct()
+    total = {int(r.toxic): r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y, most in SAMPLE.items():
-        rows = usable.where(F.col("toxic") == y).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        rows = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = rows if picked is None else picked.unionAll(rows)
     # At most sum(SAMPLE) ids are broadcast, and as many texts come to the driver.
     text = docs.select(F.col("doc_id").alias("doc_id"), "text")
     got = text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))), key=lambda r: (r[0], r[2], r[1] or ""))
-    return fit([r[1] for r in rows], np.array([r[2] for r in rows], int))
+    stands = {y: max(1.0, total.get(y, 0) / most) for y, most in SAMPLE.items()}
+    return fit([r[1] for r in rows], np.array([r[2] for r in rows], int), np.array([stands[r[2]] for r in rows]))
 
 
 SCORES = "doc_id long, score double"

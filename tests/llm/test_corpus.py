@@ -280,6 +280,30 @@ def test_toxicity(spark, nothing):
     assert toxicity.toxicity_scores(nothing, model).count() == 0
 
 
+def test_sampled_labels_stand_for_all(spark, monkeypatch):
+    """The cut, the prior and the mining filter are those of all rows, whatever the sample's shares."""
+    rng = np.random.default_rng(4)
+    gold = np.repeat([1, 0], [300, 2400])
+    z = np.where(gold == 1, rng.normal(1.5, 1, 2700), rng.normal(-1, 1, 2700))
+    part = np.concatenate([np.arange(300), 300 + np.arange(0, 2400, 4)])
+    weights = np.where(gold == 1, 1.0, 4.0)[part]
+    whole, sampled = toxicity.best_cut(z, gold), toxicity.best_cut(z[part], gold[part], weights)
+    assert abs(sampled - whole) < 0.25 < whole - toxicity.best_cut(z[part], gold[part])
+    model = toxicity.LabelModel()
+    model.fit((z[part] > whole).astype(int)[:, None], gold[part], weights=weights)
+    assert abs(model.prior - 1 / 9) < 0.03
+    texts = ["vextrod mild"] * 60 + ["mild"] * 4 + ["calm"] * 600
+    y = np.repeat([1, 0], [60, 604])
+    assert b"mild" in toxicity.mine(texts, y) and b"mild" not in toxicity.mine(texts, y, 4.0) and b"vextrod" in toxicity.mine(texts, y, 4.0)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, gold, weights=None: seen.append((gold, weights)))
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 20, 0: 40})
+    rows, labels = labelled()
+    toxicity.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    learned = Counter(t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 != 1)
+    assert {y: round(float(seen[0][1][seen[0][0] == y].sum())) for y in (0, 1)} == learned
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(1)
     y = (rng.random(4000) < 0.3).astype(int)
