@@ -164,7 +164,7 @@ def base_spans(text: str, raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def secret_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """Base spans by start, then kind as listed; spans that the battery adds outside them."""
+    """Base spans by start, then kind as listed; whole tokens that the battery adds where they reach beyond them."""
     text = text or ""
     raw = text.encode()
     order = {"assign": 0, "access": 1, "hex": 2}
@@ -172,7 +172,7 @@ def secret_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
     added: list[tuple[str, int, int]] = []
     if any(len(w) >= LEAST and not w.isalpha() for w in raw.translate(_CLASS).split()):
         ends = 0
-        covered = []  # base spans merged, to test overlaps by one pass
+        covered = []  # base spans merged, to test tokens by one pass
         for _, s, e in base:
             if covered and s <= ends:
                 covered[-1][1] = ends = max(ends, e)
@@ -184,7 +184,17 @@ def secret_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tup
             while k < len(covered) and covered[k][1] <= m.start():
                 k += 1
             token = m[0]
-            if (k == len(covered) or covered[k][0] >= m.end()) and any(c in _DIGIT for c in token) and any(c.isalpha() for c in token):
+            # what base spans leave of a token is judged for all of it; a short rest with what they cover
+            rest, at, j = [], m.start(), k
+            while j < len(covered) and covered[j][0] < m.end():
+                rest.append(text[at : max(at, covered[j][0])])
+                at = max(at, covered[j][1])
+                j += 1
+            left = "".join([*rest, text[at : m.end()]])
+            if not left.rstrip("="):
+                continue
+            token = left if len(left) >= LEAST else token
+            if any(c in _DIGIT for c in token) and any(c.isalpha() for c in token):
                 candidates.append((m.start(), m.end(), token))
         added = sorted(discoveries(candidates), key=lambda s: s[1])
     return base, added

@@ -252,3 +252,16 @@ def test_every_license_rule_is_found_by_its_phrase_alone():
         ("do what the fuck you want to public licence", "wtfpl"),
     ):
         assert label in {s[0] for s in licenses.license_spans(text)}
+
+
+def test_tokens_that_reach_beyond_base_spans_are_masked_whole():
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    head, tail = ("".join(rng.choice(letters) for _ in range(40)) for _ in range(2))
+    run = "".join(rng.choice("0123456789abcdef") for _ in range(26))
+    for middle, kind in ((run, "hex"), ("AKIA" + "Q7Z2M4XK9P1LW8RT", "access")):
+        token = f"{head}x{middle}x{tail}"
+        base, added = secrets.secret_spans(f"see {token} here")
+        assert {k for k, _, _ in base} == {kind} and [(s, e) for _, s, e in added] == [(4, 4 + len(token))]
+        assert secrets.mask(f"see {token} here") == "see [secret] here"
+    assert secrets.secret_spans(f"see {run}== here")[1] == []
