@@ -57,6 +57,42 @@ def test_licenses(spark, docs, texts, nothing):
     assert len(licenses.RULES) > 200
 
 
+def plain_detections(words):
+    """Suppression and score by comparing every detection with all that were kept before."""
+    if not words:
+        return [], 0.0
+    joined = b" " + b" ".join(words) + b" "
+    kept = []
+    for rule in licenses.RULES:
+        if all(k in words for k in rule.needs & licenses.KEYWORDS) and (rule.needs & licenses.KEYWORDS or licenses._LICENCE & set(words)):
+            for m in rule.pattern.finditer(joined):
+                if rule.base or not any(a <= m.start() and m.end() <= b and not r.base for r, a, b in kept):
+                    kept.append((rule, m.start(), m.end()))
+    miss = 1.0
+    for label in {r.label for r, _, _ in kept}:
+        miss *= 1 - max(r.confidence for r, _, _ in kept if r.label == label)
+    return sorted((r.label, joined.count(b" ", 0, a), joined.count(b" ", 0, b)) for r, a, b in kept), 1 - miss
+
+
+def test_added_labels_and_score_equal_a_plain_version(spark, tmp_path):
+    """The registered query, with repeated rows, clashing columns and many notices in one text."""
+    rng = random.Random(3)
+    pieces = [t for t, _ in LICENSED if t] + ["a b c", "released under the terms of the GNU Affero General Public License v3", "SPDX-License-Identifier: MIT", "MIT License", "tous droits réservés"]
+    rows = [(k, " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))), "x", 7) for k in range(60)]
+    rows += [rows[0], (None, None, "x", 7), (70, "", "x", 7), (71, "Copyright 2020. MIT License. " * 3000, "x", 7), (72, "MIT License SPDX-License-Identifier: MIT", "x", 7)]
+    spark.createDataFrame(rows, "doc_id long, text string, labels string, score int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = licenses.op1_licenses(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    plain = {i: t for i, t, _, _ in rows}
+    for r in got:
+        if r.doc_id != 71:
+            spans, score = plain_detections(licenses.word_form(plain[r.doc_id]))
+            assert r.labels == ",".join(sorted({x[0] for x in spans})) and abs(r.score - score) < 1e-12
+            assert sorted(x[:3] for x in licenses.license_spans(plain[r.doc_id])) == spans
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == plain_base(plain[r.doc_id])
+    assert abs(next(r.score for r in got if r.doc_id == 72) - 0.99) < 1e-12
+
+
 def test_rules_suppress_what_better_ones_contain():
     found = [x[0] for x in licenses.license_spans("released under the terms of the GNU Affero General Public License v3 or later")]
     assert "agpl-3.0" in found and "gpl" in found and "gpl-any" not in found
@@ -159,11 +195,73 @@ def test_images(spark):
     tiles = media.to_tiles(gray)
     assert tiles.shape == (4, 24, 24) and (tiles[0] == gray[:24, :24]).all() and (tiles[3][6:] == 255).all()
     rows = [(1, b"P5 41 30 255\n" + gray.tobytes(), "clash"), (2, None, "x"), (3, b"no", "x")]
-    got = {r.id: r for r in media.media_tiles(spark.createDataFrame(rows, "id int, content binary, hash string")).collect()}
+    files = spark.createDataFrame(rows, "id int, content binary, hash string")
+    got = {r.id: r for r in media.media_tiles(files, size=None).collect()}
     assert (got[1].height, got[1].width, got[1].hash) == (30, 41, media.difference_hash(gray))
     assert (np.load(io.BytesIO(got[1].tiles)) == tiles).all() and got[2].error == "null" and got[3].tiles is None
 
 
+MALFORMED = [
+    b"P2 1 1 255 99999999999999999999 ",
+    b"P5 99999999999 99999999999 255\n",
+    b"P5 99999999 99999999 255\n" + bytes(100),
+    b"P5 +4 4 255\n" + bytes(16),
+    b"P2 1 1 255 300 ",
+    b"P3 1 1 100 -5 0 0 ",
+    b"P2 2 1 255 7 ",
+    b"P1 2 1 7x",
+    b"P1 3 1 10",
+    b"P5 2 1 100\n\x01\xff",
+    b"BM" + bytes(8) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + b"\xff\xff\xff\x7f" * 2 + (1).to_bytes(2, "little") + (24).to_bytes(2, "little") + bytes(24),
+    b"BM" + bytes(8) + (54).to_bytes(4, "little") + (20).to_bytes(4, "little") + bytes(60),
+    None,
+    b"",
+]
+
+
+def test_malformed_images_give_error_rows(spark):
+    for bad in MALFORMED:
+        with pytest.raises(ValueError):
+            media.decode(bad or b"")
+    gray = np.arange(30 * 41, dtype=np.uint32).reshape(30, 41).astype(np.uint8)
+    color = np.stack([gray, 255 - gray, gray // 2], axis=2)
+    rows = [*enumerate(MALFORMED), (100, b"P5 41 30 255\n" + gray.tobytes()), (100, b"P5 41 30 255\n" + gray.tobytes()), (101, bmp(color))]
+    files = spark.createDataFrame([(k, b, 1, "mine") for k, b in rows], "id int, content binary, Height int, tiles string")
+    out = media.media_tiles(files, size=(50, 20))
+    assert out.columns == ["id", "content", "tiles", "height", "width", "hash", "error"]
+    got = out.collect()
+    assert len(got) == len(rows) and all((r.error is None) == (r.id >= 100) == (r.tiles is not None) for r in got)
+    for r in got:
+        if r.id >= 100:
+            image = gray if r.id == 100 else color
+            planes = [image] if image.ndim == 2 else list(np.moveaxis(image, 2, 0))
+            want = [np.array([[area_mean(p, y * 30 / 50, (y + 1) * 30 / 50, x * 41 / 20, (x + 1) * 41 / 20) for x in range(20)] for y in range(50)]) for p in planes]
+            shown = np.full((72, 24, *image.shape[2:]), 255, np.uint8)
+            shown[:50, :20] = np.floor(np.array(want[0] if image.ndim == 2 else np.stack(want, axis=2)) + 0.5)
+            near_halves = np.abs(np.load(io.BytesIO(r.tiles)).reshape(shown.shape).astype(int) - shown)
+            assert near_halves.max() <= 1 and (near_halves == 0).mean() > 0.99 and (r.height, r.width) == (30, 41)
+    assert media.media_tiles(files.limit(0)).count() == 0
+
+
+def area_mean(p, y0, y1, x0, x1):
+    """Mean of a box with fractional edges, cell by cell."""
+    total = 0.0
+    for y in range(int(y0), min(p.shape[0], int(-(-y1 // 1)))):
+        for x in range(int(x0), min(p.shape[1], int(-(-x1 // 1)))):
+            total += float(p[y, x]) * max(0.0, min(y1, y + 1) - max(y0, y)) * max(0.0, min(x1, x + 1) - max(x0, x))
+    return total / ((y1 - y0) * (x1 - x0))
+
+
+def test_bitmaps_with_masks_and_old_headers():
+    head = lambda offset, rest: b"BM" + bytes(8) + offset.to_bytes(4, "little") + rest
+    u2, u4 = (lambda *v: b"".join(x.to_bytes(2, "little") for x in v)), (lambda *v: b"".join(x.to_bytes(4, "little") for x in v))
+    pixels = np.array([[0xF800, 0x07E0], [0x001F, 0xFFFF]], "<u2")
+    data = head(66, u4(40, 2, 2) + u2(1, 16) + u4(3) + bytes(20) + u4(0xF800, 0x07E0, 0x001F) + pixels[::-1].tobytes())
+    assert (media.decode(data) == [[[255, 0, 0], [0, 255, 0]], [[0, 0, 255], [255, 255, 255]]]).all()
+    old = head(26 + 768, u4(12) + u2(2, 1, 1, 8) + bytes(range(256)) * 3 + bytes([0, 1, 0, 0]))
+    assert (media.decode(old) == [[[2, 1, 0], [5, 4, 3]]]).all()
+
+
 ODD = ["", " ", "\n\n  x", "it's don't WE'LL", "a" * 300, "日本語 \U0001f600‍ x", "1234567 12,345", "<|endoftext|>", "   é́", "=" * 100 + "\t\t\t"]
 
 
