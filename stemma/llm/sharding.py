@@ -20,7 +20,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_name, table
+from .common import discard, materialize, new_name, table
 
 MAX_PARTS = 4096
 #: Rows that a logical partition holds until MAX_PARTS is reached.
@@ -89,14 +89,36 @@ def _literal(df: DataFrame, value: object, kind: str) -> DataFrame:
     return df.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(value)), f"array<struct<{kind}>>")).alias("r")).select("r.*")
 
 
+def _spread(df: DataFrame, h: str, most: int) -> DataFrame:
+    """``df`` with another digest for every ``most`` rows that have the same one.
+
+    Equal rows are numbered in two steps, within the partition where they lie and
+    by the partitions before it, so that no task sees them all. At most
+    MAX_PARTS digests are that frequent.
+    """
+    many = df.groupBy(h).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(h)
+    many = materialize(many, "shards-many")
+    if many.isEmpty():
+        discard(many)
+        return df
+    place, at = new_name(df, "_place"), new_name(df, "_at")
+    held = materialize(df.join(F.broadcast(many), h, "left_semi").withColumn(place, F.spark_partition_id()), "shards-equal")
+    sums = held.groupBy(h, place).agg(F.count(F.lit(1)).alias(at))  # a row for each frequent digest and partition
+    before = sums.select(h, place, (F.sum(at).over(Window.partitionBy(h).orderBy(place)) - F.col(at)).alias(at))
+    number = F.col(at) + F.row_number().over(Window.partitionBy(h, place).orderBy(h)) - 1
+    numbered = held.join(before, [h, place]).withColumn(h, F.xxhash64(h, F.floor(number / most))).select(*df.columns)
+    return df.join(F.broadcast(many), h, "left_anti").select(*df.columns).unionAll(numbered)
+
+
 def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 20240229, key: str = "doc_id") -> DataFrame:
     """All rows of ``df`` with two more columns: ``shard`` (int, from 0) and ``slot`` (long, gapless from 0 in its shard).
 
     The order is a function of the rows and the seed, not of how they are
     partitioned. Nulls count as values; rows that are equal in every column are
-    interchangeable, so ties among them change nothing. An empty table gives an
-    empty result. Existing columns named shard or slot are replaced; helper
-    columns get names that do not clash.
+    interchangeable, so ties among them change nothing; very many of them are
+    spread like different rows. An empty table gives an empty result. Existing
+    columns named shard or slot are replaced; helper columns get names that do
+    not clash.
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
@@ -106,11 +128,15 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = 16, seed: int = 20240229,
     digest = F.xxhash64(F.lit(seed), *[F.col(c) for c in plain])
     n = df.count()
     parts = min(MAX_PARTS, max(LEAST_PARTS, -(-n // PART_ROWS)))
-    dealt = df.withColumn(h, digest).withColumn(part, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key) if key in df.columns else F.col(h), F.col(h)), F.lit(parts)).cast("int"))
+    dealt = _spread(df.withColumn(h, digest), h, max(PART_ROWS, -(-n // MAX_PARTS))).withColumn(part, F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key) if key in df.columns else F.col(h), F.col(h)), F.lit(parts)).cast("int"))
     held = dict(dealt.groupBy(part).count().collect())  # at most MAX_PARTS rows
     matrix = communication_matrix([held.get(p, 0) for p in range(parts)], shard_sizes(sum(held.values()), n_shards), seed)
     bounds = _literal(df, [{part: p, cum: [sum(row[: k + 1]) for k in range(n_shards)]} for p, row in enumerate(matrix)], f"`{part}` int, `{cum}` array<bigint>")
     order: list[Column] = [F.col(h), *[F.col(c) for c in plain if c == key]]
+    # Rows of one digest lie in one partition; each gets a key of its own, so that the permutation is of rows.
+    like = Window.partitionBy(part).orderBy(h)
+    twin = F.row_number().over(like) - F.rank().over(like)
+    dealt = dealt.withColumn(rank, twin).withColumn(h, F.when(F.col(rank) == 0, F.col(h)).otherwise(F.xxhash64(h, rank))).drop(rank)
     local = dealt.withColumn(rank, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
     # The broadcast side is at most MAX_PARTS x n_shards numbers.
     sent = local.join(F.broadcast(bounds), part).withColumn("shard", F.size(F.filter(F.col(cum), lambda x: x < F.col(rank))).cast("int"))

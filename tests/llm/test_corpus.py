@@ -400,6 +400,30 @@ def test_shards_take_from_everywhere(spark):
     assert abs(first.mean() - 8000) < 6 * 16000 / math.sqrt(12 * 1600)
 
 
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """A row that makes half of a table: no logical partition or bucket gets all of it, and places don't depend on partitioning."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 20)
+    rows = [(7, "same", None)] * 400 + [(None, None, None)] * 100 + [(1000 + k, f"t{k}", k) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int")
+    place = lambda d: sorted((r.doc_id or -1, r.text or "", r.shard, r.slot) for r in sharding.shuffle_into_shards(d, 4).collect())
+    got = place(df.repartition(3))
+    assert got == place(df.repartition(11)) and Counter((i, t) for i, t, _, _ in got) == Counter((i or -1, t or "") for i, t, _ in rows)
+    for k in range(4):
+        assert sorted(s for _, _, x, s in got if x == k) == list(range(250))
+        slots = sorted(s for i, _, x, s in got if x == k and i == 7)
+        assert 70 < len(slots) < 130 and slots[-1] - slots[0] > 180
+    keyed = sharding._spread(df.withColumn("h", sharding.F.xxhash64("doc_id", "text")), "h", 20)
+    assert max(r["count"] for r in keyed.groupBy("h").count().collect()) <= 20
+
+
+def test_shards_query(spark, texts, tmp_path):
+    spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, size int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op9_shards(spark, str(tmp_path)).collect()
+    want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in texts)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    assert all(r.law == "rows" and r.grown_shard is None and 0 <= r.shard < 16 for r in got)
+
+
 def test_hypergeometric():
     rng = random.Random(0)
     draws = [sharding.hypergeometric(rng, 30, 70, 20) for _ in range(20000)]
