@@ -271,7 +271,8 @@ def test_tokens_equal_the_library(docs, texts, nothing, spark):
 
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(None), special_tokens={})
     plain = dict([*texts, *((1000 + k, t) for k, t in enumerate(ODD))])
-    all_docs = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(1000 + k, t) for k, t in enumerate(ODD)], "doc_id long, text string"))
+    odd = spark.createDataFrame([(1000 + k, t, 0, "clash") for k, t in enumerate(ODD)], "doc_id long, text string, n_tokens int, ids string")
+    all_docs = docs.unionByName(odd, allowMissingColumns=True)
     for r in bpe.token_digests(all_docs).collect():
         text = plain[r.doc_id] or ""
         ids = encoding.encode_ordinary(text)
@@ -286,9 +287,7 @@ def test_tokens_equal_the_library(docs, texts, nothing, spark):
 
 
 def test_long_words():
-    """Runs without a break, which take one round for each rank and not for each merge."""
-    import random
-
+    """Runs without a break, which take far fewer rounds than merges."""
     import public_tokenizers
     import tiktoken
 
@@ -297,8 +296,38 @@ def test_long_words():
     rng = random.Random(0)
     words = ["a" * n for n in (100, 101, 4096, 30001)] + ["=" * 5001, "ab" * 3000, "aab" * 2000, "é" * 999]
     words += ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "thing", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz") for n in (120, 700, 5000)]
-    for w, (ids, decoded) in zip(words, codec.encode_all(words)):
-        assert ids == " ".join(map(str, encoding.encode_ordinary(w))) and decoded == w.encode()
+    words += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60000)), "".join(rng.choice("the and ing").strip() or "e" for _ in range(20000))]
+    encoded = codec.encode_all(words)
+    for w, ids in zip(words, encoded):
+        assert ids == " ".join(map(str, encoding.encode_ordinary(w)))
+    assert codec.decode_all(*bpe._numbers(encoded)) == [w.encode() for w in words]
+
+
+def test_long_words_in_few_rounds_a_query(monkeypatch):
+    """The same ids when the recursion goes on over several queries, and decoding over several."""
+    import public_tokenizers
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "ROUND_ROWS", 1)
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 7)
+    codec = bpe.Codec()
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(1)
+    words = ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (100, 150, 400)] + ["", "a" * 130]
+    encoded = codec.encode_all(words)
+    assert encoded == [" ".join(map(str, encoding.encode_ordinary(w))) for w in words]
+    assert codec.decode_all(*bpe._numbers(encoded)) == [w.encode() for w in words]
+
+
+def test_decoding_is_by_the_vocabulary(spark):
+    """A vocabulary row that is wrong shows in what is decoded; unknown and null ids give null."""
+    codec = bpe.Codec()
+    ids, lengths = bpe._numbers(codec.encode_all(["the end", " the"]))
+    codec.db.execute("UPDATE vocabulary SET piece = 'X' WHERE id = ?", [int(ids[-1])])
+    assert codec.decode_all(ids, lengths)[1] == b"X"
+    rows = [(1, [int(i) for i in ids[: lengths[0]]], "x"), (2, [], "x"), (3, None, "x"), (4, [10**9], "x"), (5, [None], "x"), (None, [int(ids[0])], "x")]
+    got = {r.doc_id: r.text for r in bpe.decode_ids(spark.createDataFrame(rows, "doc_id int, ids array<int>, text string")).collect()}
+    assert got == {1: "the end", 2: "", 3: None, 4: None, 5: None, None: "the"}
 
 
 def test_forgotten_words_are_encoded_anew():
