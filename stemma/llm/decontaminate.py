@@ -2,14 +2,14 @@
 
 Texts and items are reduced to words (lower-cased; ASCII punctuation separates).
 An item of n words matches a document if some passage, of any length, is within
-k = ``RATE`` * n word edits of it (``passages``), or if some window of n words is
-(``contaminated``). Windows of n words are embedded by the random walk of
+k = ``RATE`` * n word edits of it, rounded down: items of up to four words match
+by the same words only. Windows of n words are embedded by the random walk of
 Chakraborty, Goldenberg and Koucky: a pointer reads a word at each of 3n steps
 and moves on if a random bit, chosen by step and word, says so. Few edits then
 change few embedded positions. Each repetition samples ``BITS`` positions of an
 embedding as a bucket key; ``REPEATS`` of them meet the target recall, which
-the tests measure. What collides is verified by exact edit distance: for passages,
-the least over all that lie within k words of the window.
+the tests measure. What collides is verified by exact edit distance: the least
+over all passages that lie within k words of the window.
 
 Before embedding, a lossless test: within k edits of an item, all but k of the
 item's words stand in the window. So n - k of the window's words must be words
@@ -20,28 +20,37 @@ around, a window that passes: what a passage of more than n words has beyond the
 window are as many words as were inserted, less those dropped. Windows hang over
 the ends of a document by up to k words, so that a text shorter than an item has one.
 
-The items are held by each worker, at most ``BLOCK_ITEMS`` at a time; a larger
-benchmark is taken in blocks against all documents.
+The items, their words and their bucket keys are Spark tables. What a worker
+holds of them are three sieves, bitmaps of at most ``MOST_BITS`` bits (words of
+items, rarer words by item length, bucket keys), and the number of rarer words
+by item length. A sieve lets pass all that it should, and a little more. The
+windows that pass, with the words around them (a region), are written out; their
+keys meet the items' by a join, and each pair is verified where the join puts it.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, map_texts, table
-from .rolling import mix, prefix_sums, window_at, word_hashes
+from .common import _arrow, materialize, new_name, slices, small_batches, table
+from .rolling import mix, prefix_sums, signed, window_at, word_hashes
 
 RATE = 0.2
-#: Items with fewer words match nothing.
-LEAST_WORDS = 5
-EMBEDDINGS, REPEATS, BITS = 3, 48, 3
-BLOCK_ITEMS = 5000
-#: Words of documents handled by one array operation.
-RUN_WORDS = 1_000_000
+EMBEDDINGS, REPEATS, BITS = 6, 96, 3
+SEED = 7
+#: Bits of a sieve: so many for each thing in it, the next power of two, and never more than the last figure.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 30
+#: Words of documents handled by one array operation, and different words that a worker keeps.
+RUN_WORDS, KEPT_WORDS = 1_000_000, 500_000
 #: A word is common if more than this share of the items has it.
 COMMON = 0.02
 _SPLIT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
@@ -111,13 +120,12 @@ def embed(flat: np.ndarray, starts: np.ndarray, n: int, seed: int, steps: np.nda
     return out
 
 
-def _starts(spots: np.ndarray, codes: np.ndarray, least: int, own: np.ndarray, n: int, size: int) -> np.ndarray:
-    """Starts of the runs of n words with at least ``least`` of the spots whose code is in ``own``."""
+def _starts(mine: np.ndarray, least: int, n: int, size: int) -> np.ndarray:
+    """Starts of the runs of n places with at least ``least`` of these spots."""
     if size < n:
         return np.empty(0, np.int64)
     if least <= 0:
         return np.arange(size - n + 1)
-    mine = spots[own[codes]]
     if len(mine) < least:
         return np.empty(0, np.int64)
     # a run over spots j to j + least - 1 starts after the last of them less n, and not after the first
@@ -127,250 +135,316 @@ def _starts(spots: np.ndarray, codes: np.ndarray, least: int, own: np.ndarray, n
     return np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
 
-class Items:
-    """The items of a benchmark by length, with their LSH tables."""
-
-    def __init__(self, rows: list[tuple[int, str]], seed: int = 7):
-        self.rows = [(i, words_of(t)) for i, t in rows]
-        self.rows = [(i, w) for i, w in self.rows if len(w) >= LEAST_WORDS]
-        hashed = [word_hashes(w) for _, w in self.rows]
-        spread = Counter(w for _, ws in self.rows for w in set(ws))
-        rare = [w for w, n in spread.items() if n <= max(2, COMMON * len(self.rows))]
-        #: 1 for common words of the items, 2 and more for the others
-        self.vocabulary = dict.fromkeys(spread, 1) | {w: k for k, w in enumerate(rare, 2)}
-        self.masks: list[dict[int, int]] = []
-        for h in hashed:
-            mask: dict[int, int] = defaultdict(int)
-            for k, w in enumerate(h.tolist()):
-                mask[w] |= 1 << k
-            self.masks.append(dict(mask))
-        by_length: dict[int, list[int]] = defaultdict(list)
-        for k, h in enumerate(hashed):
-            by_length[len(h)].append(k)
-        rng = np.random.default_rng(seed)
-        per = -(-REPEATS // EMBEDDINGS)
-        self.lengths = {}
-        self.rare: dict[int, tuple[int, np.ndarray]] = {}
-        for n, members in by_length.items():
-            own = np.zeros(len(rare) + 2, bool)
-            codes = [[c for c in map(self.vocabulary.__getitem__, self.rows[k][1]) if c > 1] for k in members]
-            own[[c for cs in codes for c in cs]] = True
-            self.rare[n] = min(map(len, codes)) - int(RATE * n), own
-        for n, members in sorted(by_length.items()):
-            flat = np.concatenate([hashed[k] for k in members])
-            starts = np.arange(len(members)) * n
-            plans = []
-            for e in range(EMBEDDINGS):
-                # a walk ends after about 2n of its 3n steps; later ones would all agree
-                picks = [np.sort(rng.choice(2 * n, min(BITS, 2 * n), replace=False)) for _ in range(per)]
-                steps = np.unique(np.concatenate(picks))
-                columns = [np.searchsorted(steps, p) for p in picks]
-                buckets = []
-                for key in self._keys(embed(flat, starts, n, e, steps), columns):
-                    bucket: dict[int, list[int]] = defaultdict(list)
-                    for k, x in zip(members, key.tolist()):
-                        bucket[x].append(k)
-                    buckets.append((np.array(sorted(bucket), np.uint64), dict(bucket)))
-                plans.append((steps, columns, buckets))
-            self.lengths[n] = plans
-
-    @staticmethod
-    def _keys(values: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
-        out = []
-        for cols in columns:
-            key = np.zeros(len(values), np.uint64)
+def masks_of(words: np.ndarray) -> dict[int, int]:
+    """For each word the bits of its places."""
+    out: dict[int, int] = defaultdict(int)
+    for k, w in enumerate(words.tolist()):
+        out[w] |= 1 << k
+    return dict(out)
+
+
+_plans: dict[int, list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]] = {}
+
+
+def _plan(n: int) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """For each embedding of windows of n words: the steps that are sampled, the columns of each repetition, and its first key."""
+    if n not in _plans:
+        if len(_plans) > 1000:
+            _plans.clear()
+        rng, per, out = np.random.default_rng([SEED, n]), -(-REPEATS // EMBEDDINGS), []
+        for e in range(EMBEDDINGS):
+            # a walk ends after about 2n of its 3n steps; later ones would all agree
+            picks = [np.sort(rng.choice(2 * n, min(BITS, 2 * n), replace=False)) for _ in range(per)]
+            steps = np.unique(np.concatenate(picks))
+            first = mix((np.arange(per, dtype=np.uint64) + np.uint64(1 + e * per)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
+            out.append((steps, [np.searchsorted(steps, p) for p in picks], first))
+        _plans[n] = out
+    return _plans[n]
+
+
+def bucket_keys(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """A row of ``REPEATS`` bucket keys, or a few more, for each window flat[s:s+n]."""
+    out = []
+    for e, (steps, columns, first) in enumerate(_plan(n)):
+        values = embed(flat, starts, n, e, steps)
+        for cols, key in zip(columns, first):
+            keys = np.full(len(starts), key)
             for c in cols:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + values[:, c])
-            out.append(key)
+                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, c])
+            out.append(keys)
+    return np.stack(out, axis=1)
+
+
+def _mapped(rows: DataFrame, fn, schema: str) -> DataFrame:
+    """``fn`` takes a column dict and gives one; texts come in slices."""
+    arrow = _arrow(rows.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch) if "text" in batch.schema.names else [batch]:
+                if part.num_rows:
+                    out = fn({c: part.column(k).to_pylist() for k, c in enumerate(part.schema.names)})
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+            del batch
+            pa.default_memory_pool().release_unused()
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
+def _item_rows(cols: dict) -> dict:
+    out: dict[str, list] = {"item_id": [], "n": [], "words": [], "keys": []}
+    for i, text in zip(cols["item_id"], cols["text"]):
+        words = words_of(text)
+        if words:
+            flat = word_hashes(words)
+            out["item_id"].append(i)
+            out["n"].append(len(words))
+            out["words"].append(signed(flat))
+            out["keys"].append(signed(bucket_keys(flat, np.zeros(1, np.int64), len(words))[0]))
+    return out
+
+
+@dataclass
+class Sieve:
+    """A set of 64-bit numbers as bits; ``probes`` of them for each number."""
+
+    bits: np.ndarray
+    probes: int
+
+    def has(self, x: np.ndarray, shift: int = 0) -> np.ndarray:
+        mask = np.uint64(8 * len(self.bits) - 1)
+        out = np.ones(x.shape, bool)
+        for p in range(self.probes):
+            at = ((x >> np.uint64(17 * p)) & mask) + np.uint64(shift) & mask
+            out &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
         return out
 
-    def matches(self, texts: list, whole: bool = False) -> list[tuple[int, int, int, int, int]]:
-        """(text's place, item's place, first word, words, edits): the best window of each text and item, earliest of equals.
 
-        With ``whole``, the best passage of any length.
-        """
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+def make_sieve(numbers: DataFrame, probes: int, shift: Column | None = None) -> Sieve:
+    """The sieve of column x; the driver and each worker hold at most ``MOST_BITS`` bits of it. ``shift`` turns the places of a row."""
+    size = LEAST_BITS
+    wanted = numbers.count() * BITS_EACH
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    places = [F.shiftrightunsigned("x", 17 * p).bitwiseAND(F.lit(size - 1)) for p in range(probes)]
+    rows = numbers.select(F.explode(F.array(*[(p + (F.lit(0) if shift is None else shift)).bitwiseAND(F.lit(size - 1)) + 1 for p in places])).alias("p"))
+    parts = rows.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        bits[(r.b - 1) * 4096 : r.b * 4096] = np.frombuffer(r.bits, np.uint8)
+    return Sieve(bits, probes)
+
+
+def _turn(n):
+    """What sets apart the places of equal words in items of different lengths."""
+    return n * 40503
+
+
+@dataclass
+class Index:
+    """A benchmark: its items as a table (ref, item_id, n, words, keys), and what workers hold of them."""
+
+    items: DataFrame
+    words: Sieve
+    rare: Sieve
+    own: Sieve
+    keys: Sieve
+    #: rarer words that a window of this length must have
+    least: dict[int, int]
+
+
+def index_benchmark(benchmark: DataFrame) -> Index:
+    """Null ids and texts, and texts without words, match nothing; an item with several texts is found by any of them."""
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    made = _mapped(rows, _item_rows, "item_id long, n int, words array<long>, keys array<long>").withColumn("ref", F.monotonically_increasing_id())
+    items = materialize(made, "decon-items")
+    words = items.select("ref", "n", F.explode("words").alias("x"))
+    common = max(2.0, COMMON * items.count())
+    spread = materialize(words.distinct().groupBy("x").agg(F.count(F.lit(1)).alias("spread")), "decon-words")
+    rarer = words.join(spread.where(F.col("spread") <= common), "x")
+    counted = rarer.groupBy("ref").agg(F.count(F.lit(1)).alias("rarer"))
+    fewest = items.select("ref", "n").join(counted, "ref", "left").groupBy("n").agg(F.min(F.coalesce("rarer", F.lit(0))).alias("least"))
+    least = {r.n: r.least - int(RATE * r.n) for r in fewest.toLocalIterator()}  # one row for each length that an item has
+    return Index(
+        items,
+        make_sieve(spread.select("x"), 1),
+        make_sieve(spread.where(F.col("spread") <= common).select("x"), 1),
+        make_sieve(rarer.select("x", "n").distinct(), 1, _turn(F.col("n").cast("long"))),
+        make_sieve(items.select(F.explode("keys").alias("x")).distinct(), 3),
+        least,
+    )
+
+
+class Scanner:
+    """Finds the regions of texts where windows may match an item."""
+
+    def __init__(self, words: Sieve, rare: Sieve, own: Sieve, keys: Sieve, least: dict[int, int]):
+        self.words, self.rare, self.own, self.keys, self.least = words, rare, own, keys, least
+        self.tail = int(RATE * max(least, default=0)) + 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.hash, self.code = np.empty(0, np.uint64), np.empty(0, np.int8)
+
+    def _numbers(self, run: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words of a run, one text after the other."""
+        if len(self.number) > KEPT_WORDS:
+            self._forget()
+        new = list(set().union(*run).difference(self.number)) if run else []
+        hashes = word_hashes(new)
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        self.hash = np.concatenate([self.hash, hashes])
+        self.code = np.concatenate([self.code, self.words.has(hashes).astype(np.int8) + self.rare.has(hashes)])
+        return np.fromiter((x for words in run for x in map(self.number.__getitem__, words)), np.int64, sum(map(len, run)))
+
+    def regions(self, texts: list) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
+        """(text's place, item length, first word, hashes of the words, bucket keys) where some window passes all sieves."""
+        out: list = []
         run: list[tuple[int, list[bytes]]] = []
         held = 0
         for k, text in enumerate(texts):
             words = words_of(text)
-            if not words:
-                continue
-            run.append((k, words))
-            held += len(words)
+            if words:
+                run.append((k, words))
+                held += len(words)
             if held >= RUN_WORDS:
-                self._scan(run, best, whole)
+                out += self._scan(run)
                 run, held = [], 0
-        if run:
-            self._scan(run, best, whole)
-        return [(d, i, s, n, x) for (d, i), (x, s, n) in sorted(best.items())]
+        return out + (list(self._scan(run)) if run else [])
 
-    def _scan(self, run: list[tuple[int, list[bytes]]], best: dict, whole: bool) -> None:
-        if not self.lengths:
+    def _scan(self, run: list[tuple[int, list[bytes]]]) -> Iterator:
+        if not self.least:
             return
-        known = self.vocabulary.get
-        # more unknown words between documents than any window may have: none that reaches into two passes
-        tail = int(RATE * max(self.lengths)) + 1
-        gap = np.zeros(2 * tail, np.int32)
-        codes = np.concatenate([gap, *(x for _, ws in run for x in (np.array([known(w, 0) for w in ws], np.int32), gap))])
-        size = len(codes)
-        ends = np.cumsum([len(ws) + len(gap) for _, ws in run])
-        begins = ends - [len(ws) for _, ws in run]
+        numbers = self._numbers([w for _, w in run])
+        lengths = np.array([len(w) for _, w in run])
+        # Unknown words around each text, as many as a window that can match may hang over its ends:
+        # before it foreign ones, after it none, where a walk stays, as past the end of an item.
+        around = np.minimum(self.tail, lengths // 4 + 2)
+        begins = np.cumsum(lengths + 2 * around) - lengths - around
+        ends = begins + lengths
+        size = int(ends[-1] + around[-1])
+        at = np.repeat(begins - np.cumsum(lengths) + lengths, lengths) + np.arange(len(numbers))
+        flat, codes = np.zeros(size, np.uint64), np.zeros(size, np.int8)
+        flat[at], codes[at] = self.hash[numbers], self.code[numbers]
+        before = np.repeat(begins - around - np.cumsum(around) + around, around) + np.arange(around.sum())
+        flat[before] = mix((np.repeat(begins, around) - before).astype(np.uint64))
         total = np.zeros(size + 1, np.int32)
         np.cumsum(codes > 0, out=total[1:])
         spots = np.flatnonzero(codes > 1)
-        spot_codes = codes[spots]
-        where: dict[int, np.ndarray] = {}
-        for n in self.lengths:
-            at = _starts(spots, spot_codes, *self.rare[n], n, size)
-            at = at[total[at + n] - total[at] >= n - int(RATE * n)]
-            if len(at) and not whole:
-                doc = np.searchsorted(ends, at + n // 2, side="right")
-                at = at[(begins[doc] <= at) & (at + n <= ends[doc])]
-            if len(at):
-                where[n] = at
-        if not where:
-            return
-        mark = np.zeros(size + 1, np.int64)
-        for n, at in where.items():
-            beyond = int(RATE * n) if whole else 0
-            np.add.at(mark, np.maximum(at - beyond, 0), 1)
-            np.add.at(mark, np.minimum(at + n + beyond, size), -1)
-        flat = np.zeros(size, np.uint64)
-        places = np.flatnonzero(np.cumsum(mark[:-1]))
-        places = places[places < ends[-1]]
-        doc_of = np.searchsorted(ends, places, side="right")
-        inside = places >= begins[doc_of]
-        # before a text stand foreign words; after it, as past the end of an item, none, where a walk stays
-        flat[np.concatenate([[0], ends])[:, None] + np.arange(tail, 2 * tail)] = mix(np.arange(1, tail + 1, dtype=np.uint64))
-        places, doc_of = places[inside], doc_of[inside]
-        flat[places] = word_hashes([run[d][1][p - begins[d]] for d, p in zip(doc_of.tolist(), places.tolist())])
-        sums = prefix_sums(flat)
-        for n, at in where.items():
-            content = window_at(sums, at, n)
-            _, one, back = np.unique(content, return_index=True, return_inverse=True)
-            starts = at[one]
-            found: dict[int, set[int]] = defaultdict(set)
-            for e, (steps, columns, buckets) in enumerate(self.lengths[n]):
-                for key, (present, bucket) in zip(self._keys(embed(flat, starts, n, e, steps), columns), buckets):
-                    for w in np.flatnonzero(np.isin(key, present)).tolist():
-                        found[w].update(bucket[int(key[w])])
-            if not found:
+        spot_hashes = flat[spots]
+        sums = None
+        for n, least in self.least.items():
+            starts = _starts(spots[self.own.has(spot_hashes, _turn(n))] if least > 0 else spots, least, n, size)
+            most = int(RATE * n)
+            starts = starts[total[starts + n] - total[starts] >= n - most]
+            doc = np.minimum(np.searchsorted(ends, starts + n // 2, side="right"), len(ends) - 1)
+            over = np.minimum(most, around[doc])
+            starts = starts[(starts >= begins[doc] - over) & (starts + n <= ends[doc] + over)]
+            if not len(starts):
                 continue
-            places_of: dict[int, list[int]] = defaultdict(list)
-            for p, w in zip(at.tolist(), back.ravel().tolist()):
-                if w in found:
-                    places_of[w].append(p)
-            if whole:
-                self._verify_regions(n, found, places_of, flat, begins, ends, run, best)
-                continue
-            for w, items in found.items():
-                window = flat[starts[w] : starts[w] + n].tolist()
-                for i in items:
-                    edits = edit_distance(self.masks[i], n, window)
-                    if edits <= int(RATE * n):
-                        for p in places_of[w]:
-                            d = int(np.searchsorted(ends, p, side="right"))
-                            key, value = (run[d][0], i), (edits, int(p - begins[d]), n)
-                            if key not in best or value < best[key]:
-                                best[key] = value
-
-    def _verify_regions(self, n: int, found: dict, places_of: dict, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray, run: list, best: dict) -> None:
-        """The best passage around the windows that collide with an item; windows whose surroundings overlap are taken as one."""
+            sums = prefix_sums(flat) if sums is None else sums
+            _, one, back = np.unique(window_at(sums, starts, n), return_index=True, return_inverse=True)
+            found: dict[int, np.ndarray] = {}
+            for a in range(0, len(one), 20_000):
+                keys = bucket_keys(flat, starts[one[a : a + 20_000]], n)
+                hit = self.keys.has(keys)
+                found |= {a + r: keys[r][hit[r]] for r in np.flatnonzero(hit.any(axis=1)).tolist()}
+            if found:
+                mine = np.flatnonzero(np.isin(back, list(found)))
+                yield from self._merged(n, starts[mine], [found[w] for w in back[mine].tolist()], flat, begins, ends, run)
+
+    @staticmethod
+    def _merged(n: int, at: np.ndarray, keys: list, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray, run: list) -> Iterator:
+        """Windows with the words around them; those whose surroundings overlap are one region."""
         most = int(RATE * n)
-        starts_of: dict[int, list[int]] = defaultdict(list)
-        for w, items in found.items():
-            for i in items:
-                starts_of[i] += places_of[w]
-        seen: dict[tuple[int, bytes], tuple[int, int, int] | None] = {}
-        for i, starts in starts_of.items():
-            at = np.sort(np.array(starts))
-            doc = np.searchsorted(ends, at + n // 2, side="right")  # at most k words of a window lie outside
-            low, high = np.maximum(at - most, begins[doc]), np.minimum(at + n + most, ends[doc])
-            first = np.flatnonzero(np.concatenate([[True], low[1:] > high[:-1]]))
-            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
-                d, begin = int(doc[a]), int(low[a])
-                region = flat[begin : int(high[b - 1])]
-                content = i, region.tobytes()
-                if content not in seen:
-                    seen[content] = best_passage(self.masks[i], n, region.tolist(), most)
-                if seen[content]:
-                    edits, start, words = seen[content]
-                    key, value = (run[d][0], i), (edits, begin + start - int(begins[d]), words)
-                    if key not in best or value < best[key]:
-                        best[key] = value
-
-
-def benchmark_blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """The items in blocks of at most ``BLOCK_ITEMS``; null ids and texts match nothing."""
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").dropDuplicates(["item_id", "text"])
-    n = rows.count()
-    if n <= BLOCK_ITEMS:
-        cut = [rows]
-    else:
-        blocks = -(-n // BLOCK_ITEMS) * 2  # by hash, so a block may exceed the mean
-        cut = [rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) for b in range(blocks)]
-    return [sorted((r.item_id, r.text) for r in c.toLocalIterator()) for c in cut]
+        doc = np.minimum(np.searchsorted(ends, at + n // 2, side="right"), len(ends) - 1)
+        low, high = np.maximum(at - most, begins[doc]), np.minimum(at + n + most, ends[doc])
+        new = np.concatenate([[True], (low[1:] > high[:-1]) | (doc[1:] != doc[:-1])])
+        cut = [*np.flatnonzero(new).tolist(), len(at)]
+        for a, b in zip(cut, cut[1:]):
+            d, begin = int(doc[a]), int(low[a])
+            yield run[d][0], n, begin - int(begins[d]), flat[begin : int(high[b - 1])], np.unique(np.concatenate(keys[a:b]))
 
 
+REGIONS = "doc_id long, th long, n int, begin long, rid binary, words array<long>, keys array<long>"
 MATCHES = "doc_id long, item_id long, start_word long, n_words long, edits long"
-_items: dict[int, Items] = {}
 
 
-def _index(rows: list[tuple[int, str]]) -> Items:
-    """The index of these items, made once per worker."""
-    key = hash(tuple(rows))
-    if key not in _items:
-        _items.clear()
-        _items[key] = Items(rows)
-    return _items[key]
+def _regions(docs: DataFrame, index: Index) -> DataFrame:
+    """The regions of all texts, written; rid tells different ones apart."""
+    name = uuid.uuid4().hex
+    held = docs.sparkSession.sparkContext.broadcast((index.words, index.rare, index.own, index.keys, index.least))
+    rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+
+    def scan(cols: dict) -> dict:
+        global _scanner
+        if _scanner is None or _scanner[0] != name:
+            _scanner = name, Scanner(*held.value)
+        out: dict[str, list] = {c.split()[0]: [] for c in REGIONS.split(", ")}
+        for k, n, begin, words, keys in _scanner[1].regions(cols["text"]):
+            rid = xxhash.xxh3_128_digest(words.tobytes(), n)
+            for values, x in zip(out.values(), (cols["doc_id"][k], cols["th"][k], n, begin, rid, signed(words), signed(keys))):
+                values.append(x)
+        return out
 
+    return materialize(_mapped(rows, scan, REGIONS), "decon-regions")
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """A row for each document and item that match: the window with the fewest edits, the earliest of equals.
 
-    With ``whole``, the passage of any length. Null and empty texts match nothing. Rows that repeat an id give its rows again.
-    """
-    parts = []
-    for rows in benchmark_blocks(benchmark):
-
-        def scan(ids: list, texts: list, rows=rows) -> dict:
-            index = _index(rows)
-            found = index.matches(texts, whole)
-            return {
-                "doc_id": [ids[m[0]] for m in found],
-                "item_id": [index.rows[m[1]][0] for m in found],
-                "start_word": [m[2] for m in found],
-                "n_words": [m[3] for m in found],
-                "edits": [m[4] for m in found],
-            }
-
-        parts.append(map_texts(docs, scan, MATCHES))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    if len(parts) > 1:  # the same id may stand in two blocks with different texts
-        w = Window.partitionBy("doc_id", "item_id").orderBy("edits", "start_word")
-        out = out.withColumn("_best", F.row_number().over(w)).where("_best = 1").drop("_best")
+_scanner: tuple[str, Scanner] | None = None
+
+
+def _verify(cols: dict) -> dict:
+    out: dict[str, list] = {c: [] for c in ("rid", "item_id", "edits", "start", "n_words")}
+    masks: dict[bytes, dict[int, int]] = {}
+    for rid, item, n, words, region in zip(cols["rid"], cols["item_id"], cols["n"], cols["item_words"], cols["words"]):
+        own = np.array(words, np.int64).view(np.uint64)
+        name = own.tobytes()
+        if name not in masks:
+            if len(masks) > 1000:
+                masks.clear()
+            masks[name] = masks_of(own)
+        best = best_passage(masks[name], n, np.array(region, np.int64).view(np.uint64).tolist(), int(RATE * n))
+        if best:
+            for values, x in zip(out.values(), (rid, item, best[0], best[1], best[2])):
+                values.append(x)
     return out
 
 
-def passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``contaminated`` by passages of any length."""
-    return contaminated(docs, benchmark, True)
+def _found(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, th, item_id, edits, start_word, n_words) of the best passage of each region and item."""
+    index = index_benchmark(benchmark)
+    regions = _regions(docs, index)
+    keyed = materialize(regions.select("rid", F.explode("keys").alias("key")).distinct(), "decon-keyed")
+    buckets = materialize(index.items.select("ref", F.explode("keys").alias("key")), "decon-buckets")
+    pairs = materialize(keyed.join(buckets, "key").select("rid", "ref").distinct(), "decon-pairs")
+    items = index.items.select("ref", "item_id", "n", F.col("words").alias("item_words"))
+    distinct = regions.select("rid", "words").dropDuplicates(["rid"])  # rows of one rid have the same words
+    joined = pairs.join(items, "ref").join(distinct, "rid").select("rid", "item_id", "n", "item_words", "words")
+    verified = materialize(_mapped(joined, _verify, "rid binary, item_id long, edits long, start long, n_words long"), "decon-verified")
+    return regions.select("rid", "doc_id", "th", "begin").join(verified, "rid").select("doc_id", "th", "item_id", "edits", (F.col("begin") + F.col("start")).alias("start_word"), "n_words")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage: of an item's number of words, or with ``whole`` of any."""
-    for rows in benchmark_blocks(benchmark):
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """A row for each document and item that match: the passage with the fewest edits, of equals the earliest, then shortest.
+
+    Null and empty texts match nothing. An id stands for one document: rows that
+    repeat an id, with the same or other texts, give one row for an item, the best
+    of all; a null id counts as an id.
+    """
+    best = F.min(F.struct("edits", "start_word", "n_words")).alias("best")
+    out = _found(docs, benchmark).groupBy("doc_id", "item_id").agg(best)
+    return out.select("doc_id", "item_id", "best.start_word", "best.n_words", "best.edits")
 
-        def clean(texts: list, rows=rows) -> list:
-            hit = {m[0] for m in _index(rows).matches(texts, whole)}
-            return [k not in hit for k in range(len(texts))]
 
-        docs = filter_texts(docs, clean)
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = True) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark passage; other rows of their ids stay."""
+    row, hash_ = new_name(docs, "_row"), new_name(docs, "_hash")
+    hits = materialize(_found(docs, benchmark).select(F.col("doc_id").alias(row), F.col("th").alias(hash_)).distinct(), "decon-hits")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(row)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_))
+    return docs.join(hits, same, "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
-    return passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
