@@ -1,15 +1,17 @@
 """Near-duplicate classes by DartMinHash and banded joining.
 
 A text is the multiset of its runs of five words (lower-cased; ASCII punctuation
-separates); shorter texts are one run. The m-th occurrence of a run is a unit of
-weight, so that weighted Jaccard similarity is that of the multisets.
-
-DartMinHash: each unit has darts, a Poisson process on the rank axis made by
-hashing the unit, cut into cells of doubling length below 1 and of length 1
-above. A dart also has one of K coordinates. Cells are thrown in order of rank
-until all coordinates are hit; the earliest dart per coordinate is the
-signature. Two signatures agree in a coordinate with probability equal to the
-similarity.
+separates); shorter texts are one run. A run that stands m times has weight m, so
+that weighted Jaccard similarity is that of the multisets.
+
+DartMinHash: the plane of an element's weights and ranks is cut into regions, by
+weight at 1, 2, 4 and so on, by rank likewise from a small fraction up. In each
+region the element has its own darts, a Poisson number by the region's area, each
+with a weight, a rank and one of K coordinates. A text throws the darts of its
+elements region by region of rank, keeps those below the element's weight, and
+stops when all coordinates are hit; the earliest dart of each is the signature.
+Two signatures agree in a coordinate with probability equal to the weighted
+similarity, and the work follows the number of elements, not their weights.
 
 Texts that agree on all coordinates of a band are candidates. Copies of one word
 sequence are one text here. In a bucket, every text is linked to a pivot, the
@@ -21,7 +23,10 @@ lost though no bucket's pairs are written out.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,7 @@ from .rolling import mix, prefix_sums, window_at
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 K = BANDS * ROWS
-#: The first cell of the rank axis ends at 2 ** -LAYERS.
+#: The first region of the rank axis ends at 2 ** -LAYERS; each later one is as long as all before it.
 LAYERS = 8
 #: Texts of a clump compared as one block.
 BLOCK = 192
@@ -63,54 +68,65 @@ def units(sorted_shingles: np.ndarray) -> np.ndarray:
     return np.where(occurrence == 0, sorted_shingles, mix(sorted_shingles + occurrence * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _cell(k: int) -> tuple[float, float]:
-    """Start and length of the k-th cell of the rank axis."""
-    if k == 0:
-        return 0.0, 2.0**-LAYERS
-    if k <= LAYERS:
-        return 2.0 ** (k - 1 - LAYERS), 2.0 ** (k - 1 - LAYERS)
-    return float(k - LAYERS), 1.0
+def weights(sorted_shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingles and how often each stands."""
+    elements, counts = np.unique(sorted_shingles, return_counts=True)
+    return elements, counts.astype(float)
+
+
+def _doubling(k: int, first: float) -> tuple[float, float]:
+    """Start and length of the k-th region of an axis."""
+    return (0.0, first) if k == 0 else (first * 2.0 ** (k - 1), first * 2.0 ** (k - 1))
 
 
-def _poisson_steps(mean: float) -> np.ndarray:
-    """Cumulative probabilities of a Poisson law, up to the last that differs from 1."""
-    p, total, out = np.exp(-mean), 0.0, []
-    for n in range(1, 40):
-        total += p
-        out.append(total)
-        p *= mean / n
-    return np.array(out)
+@functools.cache
+def _poisson(mean: float) -> np.ndarray:
+    """Cumulative probabilities of a Poisson law, up to where they end."""
+    n = np.arange(int(mean + 12 * math.sqrt(mean) + 40))
+    return np.cumsum(np.exp(n * math.log(mean) - mean - np.array([math.lgamma(k + 1) for k in n.tolist()])))
 
 
 _UNIT = 2.0**-64
 
 
-def _throw(u: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, coordinate, rank) of the darts of units ``u`` in cell k."""
-    start, length = _cell(k)
-    salt = np.uint64((0xA0761D6478BD642F * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
-    seed = mix(u ^ salt)
-    count = np.searchsorted(_poisson_steps(length), seed * _UNIT, side="right")
-    hit = np.flatnonzero(count)
-    which = np.repeat(hit, count[hit])
-    number = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
-    dart = mix(seed[which] + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
-    rank = start + length * (dart * _UNIT)
-    coordinate = ((mix(dart) >> np.uint64(32)) * np.uint64(K)) >> np.uint64(32)
-    return owner[which], coordinate.astype(np.int64), rank
-
-
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For each non-empty unit array the earliest rank per coordinate (as its 64 bits), and which arrays were empty."""
-    sizes = np.array([len(s) for s in sets])
+def _salt(k: int, j: int) -> np.uint64:
+    return np.uint64((0xA0761D6478BD642F * (64 * k + j + 1)) & 0xFFFFFFFFFFFFFFFF)
+
+
+def _throw(elements: np.ndarray, weight: np.ndarray, owner: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(owner, coordinate, rank) of the darts of weighted elements in the k-th region of rank, by regions of weight."""
+    start, length = _doubling(k, 2.0**-LAYERS)
+    j = 0
+    while len(elements):
+        low, span = _doubling(j, 1.0)
+        seed = mix(elements ^ _salt(k, j))
+        count = np.searchsorted(_poisson(span * length), seed * _UNIT, side="right")
+        hit = np.flatnonzero(count)
+        which = np.repeat(hit, count[hit])
+        number = np.arange(len(which)) - np.repeat(np.cumsum(count[hit]) - count[hit], count[hit])
+        dart = mix(seed[which] + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0xE7037ED1A0B428DB))
+        second = mix(dart)
+        rank, at = start + length * (dart * _UNIT), low + span * (mix(second) * _UNIT)
+        coordinate = (((second >> np.uint64(32)) * np.uint64(K)) >> np.uint64(32)).astype(np.int64)
+        kept = at < weight[which]
+        yield owner[which[kept]], coordinate[kept], rank[kept]
+        above = weight > low + span
+        elements, weight, owner = elements[above], weight[above], owner[above]
+        j += 1
+
+
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """For each weighted set (elements, positive weights) the earliest rank per coordinate (as its 64 bits), and which sets were empty."""
+    sizes = np.array([len(e) for e, _ in sets], int)
     best = np.full((len(sets), K), np.inf)
     open_ = np.flatnonzero(sizes)
-    flat = np.concatenate([s for s in sets]) if len(sets) else np.empty(0, np.uint64)
+    elements = np.concatenate([e for e, _ in sets]) if len(sets) else np.empty(0, np.uint64)
+    weight = np.concatenate([w for _, w in sets]) if len(sets) else np.empty(0)
     owner = np.repeat(np.arange(len(sets)), sizes)
     k = 0
     while len(open_):
-        o, c, r = _throw(flat, owner, k)
-        np.minimum.at(best.ravel(), o * K + c, r)
+        for o, c, r in _throw(elements, weight, owner, k):
+            np.minimum.at(best.ravel(), o * K + c, r)
         k += 1
         full = ~np.isinf(best[open_]).any(axis=1)
         if full.any():
@@ -118,7 +134,7 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             alive = np.zeros(len(sets), bool)
             alive[open_] = True
             keep = alive[owner]
-            flat, owner = flat[keep], owner[keep]
+            elements, weight, owner = elements[keep], weight[keep], owner[keep]
     return best.view(np.uint64), sizes == 0
 
 
@@ -157,11 +173,13 @@ def _sign(cols: dict) -> dict:
     digest: list = []
     bands: list = []
     for at in range(0, len(cols["text"]), 256):
-        words = [words_of(t) for t in cols["text"][at : at + 256]]
-        digest += [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
-        signature, empty = signatures([units(shingles(w)) for w in words])
+        texts = cols["text"][at : at + 256]
+        words = [words_of(t) for t in texts]
+        # a text without words is equal to its copies and like nothing else
+        digest += [xxhash.xxh3_128_digest(b" ".join(w) if w else b"\0" + t.encode()) if t else None for w, t in zip(words, texts)]
+        signature, empty = signatures([weights(shingles(w)) for w in words])
         bands += [None if none else key for key, none in zip(band_keys(signature), empty)]
-    return {"row": cols["row"], "digest": digest, "bands": bands}
+    return {"row": cols["row"], "th": cols["th"], "digest": digest, "bands": bands}
 
 
 def _unit_rows(cols: dict) -> dict:
@@ -277,27 +295,23 @@ def _verified(pairs: DataFrame, unit_rows: DataFrame) -> DataFrame:
     return _arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub"), _verify, "a long, b long")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``row`` (the id) and ``class_id``, the least id of its class, for every row of ``docs``.
-
-    An id stands for one document: rows that repeat an id and its text share a
-    class; of an id with several texts, one is compared. Texts without words
-    (null, empty) are like nothing else: each is a class of its own. A null id
-    gets a null class and takes no part.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col("text").cast("string").alias("text"))
-    signed = materialize(_arrow_map(rows, _sign, "row long, digest binary, bands array<long>"), "near-bands")
-    # One node for each word sequence: its least id. What a join reads is written before,
-    # so that its hot keys (a digest or bucket of very many texts) can be split at run time.
-    owner = materialize(signed.where("digest IS NOT NULL AND row IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node")), "near-owners")
-    worded = signed.where("digest IS NOT NULL").select("row", "digest").join(owner, "digest", "left").select("row", F.coalesce("node", "row").alias("node"))
-    members = materialize(worded.unionAll(signed.where("digest IS NULL").select("row", F.col("row").alias("node"))), "near-members")
-    nodes = signed.where("digest IS NOT NULL").join(owner, "digest", "left_semi").select("row", "digest", "bands")
-    nodes = nodes.join(owner.withColumnRenamed("node", "row"), ["digest", "row"], "left_semi").select(F.col("row").alias("node"), "bands").dropDuplicates(["node"])
-    held = materialize(nodes.select("node", F.explode("bands").alias("bucket")), "near-buckets")
+def _classes(docs: DataFrame, id_col: str) -> DataFrame:
+    """(row, th, digest, class_id, one) for every row that has an id: the id and text hash of the row, the digest
+    of its words, the least id of its class, and the text hash of the row of that id that stands for the class."""
+    rows = docs.select(F.col(id_col).cast("long").alias("row"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    signed = materialize(_arrow_map(rows, _sign, "row long, th long, digest binary, bands array<long>"), "near-bands")
+    # One node for each word sequence, with a number of its own once it is written. What a join reads is
+    # written before, so that its hot keys (a digest or bucket of very many texts) can be split at run time.
+    known = signed.where("digest IS NOT NULL AND row IS NOT NULL")
+    first = F.min(F.struct("row", "th")).alias("first")
+    owner = materialize(known.groupBy("digest").agg(first).withColumn("node", F.monotonically_increasing_id()), "near-owners")
+    chosen = owner.select("digest", "node", F.col("first.row").alias("row"), F.col("first.th").alias("th"))
+    # rows of one id and text hash have the same bands
+    signatures_ = known.join(chosen, ["digest", "row", "th"]).select("node", "bands").dropDuplicates(["node"])
+    held = materialize(signatures_.select("node", F.explode("bands").alias("bucket")), "near-buckets")
     sizes = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     shared = materialize(held.join(sizes, "bucket"), "near-shared")
-    discard(held, sizes, owner, signed)
+    discard(held, sizes)
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
     ranked = shared.join(fame, "node")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("fame", (-F.col("node")).alias("low"))).alias("top")).select("bucket", (-F.col("top.low")).alias("b"))
@@ -305,42 +319,84 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     star = materialize(shared.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
     discard(shared, pivots)
     inside = materialize(star.select(F.col("a").alias("node")).unionAll(star.select("b")).distinct(), "near-inside")
-    texts = rows.join(inside, rows.row == inside.node).select("node", "text")
+    wanted = materialize(chosen.join(inside, "node").select("node", "row", "th"), "near-wanted")
+    texts = rows.join(wanted, ["row", "th"]).select("node", "text")
     unit_rows = materialize(_arrow_map(texts, _unit_rows, "node long, units binary").dropDuplicates(["node"]), "near-units")
     links = materialize(_verified(star, unit_rows), "near-links")
+    joined = links.unionAll(_links_within(inside, star, links, unit_rows))
+    final = materialize(components(inside, joined, "near-final"), "near-final")
+    # The least id of a class, and of that id's texts in the class the one of least hash.
+    of = chosen.join(final, "node", "left").select("digest", "row", "th", F.coalesce("component", "node").alias("component"))
+    least = of.groupBy("component").agg(F.min(F.struct("row", "th")).alias("least"))
+    named = materialize(of.join(least, "component").select("digest", F.col("least.row").alias("class_id"), F.col("least.th").alias("one")), "near-named")
+    discard(star, inside, wanted, unit_rows, links, final)
+    alone = signed.where("digest IS NULL AND row IS NOT NULL").select("row", "th", "digest", F.col("row").alias("class_id"), F.col("th").alias("one"))
+    return known.select("row", "th", "digest").join(named, "digest").select("row", "th", "digest", "class_id", "one").unionAll(alone)
+
+
+def _links_within(inside: DataFrame, star: DataFrame, links: DataFrame, unit_rows: DataFrame) -> DataFrame:
+    """Links between texts of a clump that the links to pivots leave apart.
+
+    The texts outside a clump's main component are cut into blocks, and so is the
+    whole clump; each block of the former meets each of the latter. A row goes to
+    as many cells as the other side has blocks: (texts outside) x (blocks of the
+    clump) + (clump) x (blocks of texts outside).
+    """
     first = materialize(components(inside, links, "near-first"), "near-first")
     clumps = components(inside, star, "near-clump").select("node", F.col("component").alias("clump"))
     split = first.join(clumps, "node")
     parts = split.groupBy("clump", "component").agg(F.count(F.lit(1)).alias("n"))
     top = parts.groupBy("clump").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    torn = materialize(split.join(top.select("clump", F.col("top.component").alias("main"), "all"), "clump"), "near-torn")
-    # Texts outside the clump's main component against all of the clump, in blocks.
-    blocks = F.ceil(F.col("all") / BLOCK).cast("int")
-    # Small clumps share a cell, of some CELL_TEXTS texts; a large one is dealt over blocks x blocks cells.
+    about = top.select("clump", F.col("top.component").alias("main"), F.ceil(F.col("all") / BLOCK).cast("int").alias("whole"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
+    torn = materialize(split.join(about, "clump"), "near-torn")
+    # Small clumps share a cell, of some CELL_TEXTS texts; a large one is dealt over outer x whole cells.
     shared_cells = max(64, torn.count() // CELL_TEXTS)
-    lot = F.when(blocks == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("clump"), F.lit(shared_cells)).cast("string"))).otherwise(F.concat(F.lit("c"), F.col("clump").cast("string")))
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = torn.select("clump", "node", "component", "main", blocks.alias("blocks"), lot.alias("lot"), mine.alias("mine"))
-    rest = dealt.where("component <> main").select("*", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rest = rest.select("clump", "node", "component", "side", F.concat_ws(":", "lot", "mine", "other").alias("cell"))
-    whole = dealt.select("*", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    whole = whole.select("clump", "node", "component", "side", F.concat_ws(":", "lot", "other", "mine").alias("cell"))
-    cells = rest.unionAll(whole).join(unit_rows, "node").select("cell", "clump", "side", "node", "component", "units")
-    more = cells.groupBy("cell").applyInArrow(_block_links, "a long, b long")
-    second = materialize(more, "near-more")
-    discard(torn, unit_rows)
-    joined = links.select("a", "b").unionAll(second)
-    final = components(inside, joined, "near-final")
-    out = members.join(final, "node", "left")
-    return out.select("row", F.coalesce("component", "node").alias("class_id"))
+    lot = F.when(F.col("whole") == 1, F.concat(F.lit("s"), F.pmod(F.xxhash64("clump"), F.lit(shared_cells)).cast("string"))).otherwise(F.concat(F.lit("c"), F.col("clump").cast("string")))
+
+    def dealt(rows: DataFrame, side: int, own: str, others: str) -> DataFrame:
+        mine, other = F.pmod(F.xxhash64("node"), F.col(own)).cast("string"), F.col("other").cast("string")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return rows.select("clump", "node", "component", F.lit(side).alias("side"), F.concat_ws(":", lot, *([mine, other] if side == 0 else [other, mine])).alias("cell"))
+
+    cells = dealt(torn.where("component <> main"), 0, "outer", "whole").unionAll(dealt(torn, 1, "whole", "outer"))
+    cells = cells.join(unit_rows, "node").select("cell", "clump", "side", "node", "component", "units")
+    found = materialize(cells.groupBy("cell").applyInArrow(_block_links, "a long, b long"), "near-more")
+    discard(torn, first)
+    return found
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``row`` (the id) and ``class_id``, the least id of its class, for every row of ``docs``.
+
+    Rows are compared, not ids: those of an id with several texts may be of
+    several classes, and rows that repeat an id and its text share one. Texts
+    without words are of one class with their exact copies; null and empty texts
+    are like nothing else, each id a class of its own. A null id gets a null class
+    and takes no part.
+    """
+    without = docs.where(F.col(id_col).cast("long").isNull()).select(F.lit(None).cast("long").alias("row"), F.lit(None).cast("long").alias("class_id"))
+    return _classes(docs, id_col).select("row", "class_id").unionAll(without)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the least id of each class; rows without words and rows with a null id stay."""
-    row, cls = new_name(docs, "_row"), new_name(docs, "_class")
-    classes = near_classes(docs).where("row <> class_id").select(F.col("row").alias(row), F.lit(1).alias(cls)).distinct()
-    kept = docs.join(classes, F.col("doc_id") == F.col(row), "left_anti")
-    return kept.select(*docs.columns)
+    """``docs`` with one row of each class: of its least id, and of that id's texts in the class the one of least hash.
+
+    Rows that repeat this id and text are one: the least by hash of all columns
+    stays. Null and empty texts and rows with a null id stay as they are.
+    """
+    row, hash_ = new_name(docs, "_row"), new_name(docs, "_hash")
+    classes = _classes(docs, "doc_id").where("digest IS NOT NULL")
+    gone = classes.where("row <> class_id OR th <> one").select(F.col("row").alias(row), F.col("th").alias(hash_)).distinct()
+    many = classes.where("row = class_id AND th = one").groupBy("row", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    many = many.select(F.col("row").alias(row), F.col("th").alias(hash_))
+    gone, many = materialize(gone, "near-gone"), materialize(many, "near-many")
+    same = (F.col("doc_id").cast("long") == F.col(row)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_))
+    kept = docs.join(gone, same, "left_anti")
+    if many.isEmpty():
+        return kept.select(*docs.columns)
+    whole, order = new_name(docs, "_whole"), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
+    one = kept.join(many, same).groupBy(row, hash_).agg(F.min_by(F.struct(*docs.columns), order).alias(whole)).select(f"{whole}.*")
+    return kept.join(many, same, "left_anti").select(*docs.columns).unionAll(one)
 
 
 def op10_near(spark, sf_dir: str) -> DataFrame:

@@ -111,19 +111,58 @@ def test_components(spark):
     assert near.components(nodes, spark.createDataFrame([], "a long, b long"), "test").where("node <> component").isEmpty()
 
 
-def test_signatures_estimate_similarity():
+def test_signatures_estimate_weighted_similarity():
+    """Real weights, of less than 1 and of thousands; the work follows the elements."""
     rng = np.random.default_rng(0)
-    for share in (0.3, 0.6, 0.9):
+    for share, top in ((0.3, 1.0), (0.6, 3.0), (0.9, 40.0), (0.5, 5000.0)):
         found, true = [], []
         for _ in range(30):
-            a = rng.integers(0, 2**63, 300).astype(np.uint64)
-            b = a.copy()
-            b[: int(300 * (1 - share))] = rng.integers(0, 2**63, int(300 * (1 - share)))
-            a, b = near.units(np.sort(np.concatenate([a, a[-50:]]))), near.units(np.sort(b))
-            s, _ = near.signatures([a, b])
+            a = np.unique(rng.integers(0, 2**63, 200).astype(np.uint64))
+            w = rng.random(len(a)) ** 3 * top + 0.01
+            v = np.where(rng.random(len(a)) < share, w, w * rng.random(len(a)))
+            s, empty = near.signatures([(a, w), (a[5:], v[5:]), (a[:0], w[:0])])
+            assert empty.tolist() == [False, False, True]
+            both, either = np.minimum(w, np.append(np.zeros(5), v[5:])), np.maximum(w, np.append(np.zeros(5), v[5:]))
             found.append((s[0] == s[1]).mean())
-            true.append(near.similarity(np.sort(a), np.sort(b)))
+            true.append(both.sum() / either.sum())
         assert abs(np.mean(found) - np.mean(true)) < 0.03
+    a = np.arange(1, 50, dtype=np.uint64)
+    darts = sum(len(o) for k in range(3) for o, _, _ in near._throw(a, np.full(49, 1e4), np.zeros(49, int), k))
+    assert 0.8 < darts / (49 * 1e4 * 4 * 2**-near.LAYERS) < 1.2
+    one = near.weights(near.shingles(b"a b c d e a b c d e a b c d e".split()))
+    assert sorted(one[1].tolist()) == [2.0, 2.0, 2.0, 2.0, 3.0]
+
+
+def test_ids_with_several_texts_and_copies_without_words(spark):
+    rng = random.Random(7)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a, 1), (7, a.upper(), 2), (7, b, 3), (7, b, 3), (7, b, 4), (9, b, 5), (3, "!!!", 6), (4, "!!!", 7), (6, "?", 8), (8, "", 9), (8, "", 9), (10, None, 1), (None, a, 1), (None, a, 1), (7, c, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, class_id int")
+    for d in (df.repartition(1), df.repartition(5)):
+        got = Counter((r.row, r.class_id) for r in near.near_classes(d).collect())
+        assert got == Counter([(5, 5), (7, 5), (7, 7), (7, 7), (7, 7), (9, 7), (3, 3), (4, 3), (6, 6), (8, 8), (8, 8), (10, 10), (None, None), (None, None), (7, 7)])
+        kept = near.keep_one(d)
+        assert kept.columns == df.columns
+        left = Counter((r.doc_id, r.text) for r in kept.collect())
+        assert left == Counter([(5, a), (7, b), (3, "!!!"), (6, "?"), (8, ""), (8, ""), (10, None), (None, a), (None, a), (7, c)])
+
+
+def test_a_clump_with_few_outside_makes_few_rows(spark, monkeypatch):
+    """The main component of a clump goes to as many cells as the texts outside it have blocks."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    deal = near._block_links
+    rng = random.Random(2)
+    nodes = list(range(100))
+    star = spark.createDataFrame([(k, 0) for k in nodes[1:]], "a long, b long")
+    links = spark.createDataFrame([(k, 0) for k in nodes[1:98]], "a long, b long")
+    units = {k: near.units(near.shingles(prose(rng, 30).encode().split())) for k in nodes}
+    units[98] = units[50]
+    unit_rows = spark.createDataFrame([(k, bytearray(np.sort(u).tobytes())) for k, u in units.items()], "node long, units binary")
+    counted = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(near, "_block_links", lambda t: (counted.add(t.num_rows), deal(t))[1])
+    found = near._links_within(spark.createDataFrame([(k,) for k in nodes], "node long"), star, links, unit_rows).collect()
+    assert {(min(r), max(r)) for r in found} == {(50, 98)}
+    assert counted.value == 100 * 1 + 2 * 25
 
 
 # --- decontamination -------------------------------------------------------
