@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import uuid
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,20 +104,23 @@ def best_passage(masks: dict[int, int], n: int, region: list[int], most: int) ->
     return edits, start, words
 
 
-def embed(flat: np.ndarray, starts: np.ndarray, n: int, seed: int, steps: np.ndarray) -> np.ndarray:
-    """Embedded values of the windows flat[s:s+n] at the given steps (ascending); 0 past the end."""
-    at = np.zeros(len(starts), np.int64)
-    out = np.zeros((len(starts), len(steps)), np.uint64)
-    wanted = {int(s): k for k, s in enumerate(steps)}
-    base = starts.astype(np.int64)
-    for step in range(int(steps[-1]) + 1):
+def embed(flat: np.ndarray, starts: np.ndarray, n: int, steps: list[np.ndarray]) -> list[np.ndarray]:
+    """For each embedding its values of the windows flat[s:s+n] at the given steps (ascending); 0 past the end."""
+    out = [np.zeros((len(starts), len(s)), np.uint64) for s in steps]
+    wanted: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for e, mine in enumerate(steps):
+        for k, s in enumerate(mine.tolist()):
+            wanted[s].append((e, k))
+    base, at = starts.astype(np.int64), np.zeros((len(steps), len(starts)), np.int64)
+    seeds = [1000003 * e for e in range(len(steps))]
+    for step in range(max(wanted) + 1):
         inside = at < n
         value = np.where(inside, flat[base + np.minimum(at, n - 1)], np.uint64(0))
-        if step in wanted:
-            out[:, wanted[step]] = value
+        for e, k in wanted.get(step, ()):
+            out[e][:, k] = value[e]
         # the top bit of a random odd multiple is the coin of this step and word
-        odd = np.uint64(((0x9E3779B97F4A7C15 * (seed * 1000003 + step + 1) ^ 0xD1B54A32D192ED03) | 1) & 0xFFFFFFFFFFFFFFFF)
-        at += ((value * odd) >> np.uint64(63)).astype(np.int64) & inside
+        odd = np.array([((0x9E3779B97F4A7C15 * (s + step + 1) ^ 0xD1B54A32D192ED03) | 1) & 0xFFFFFFFFFFFFFFFF for s in seeds], np.uint64)
+        at += ((value * odd[:, None]) >> np.uint64(63)).astype(np.int64) & inside
     return out
 
 
@@ -143,10 +147,10 @@ def masks_of(words: np.ndarray) -> dict[int, int]:
     return dict(out)
 
 
-_plans: dict[int, list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]] = {}
+_plans: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
 
-def _plan(n: int) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+def _plan(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each embedding of windows of n words: the steps that are sampled, the columns of each repetition, and its first key."""
     if n not in _plans:
         if len(_plans) > 1000:
@@ -157,22 +161,21 @@ def _plan(n: int) -> list[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
             picks = [np.sort(rng.choice(2 * n, min(BITS, 2 * n), replace=False)) for _ in range(per)]
             steps = np.unique(np.concatenate(picks))
             first = mix((np.arange(per, dtype=np.uint64) + np.uint64(1 + e * per)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n))
-            out.append((steps, [np.searchsorted(steps, p) for p in picks], first))
+            out.append((steps, np.array([np.searchsorted(steps, p) for p in picks]), first))
         _plans[n] = out
     return _plans[n]
 
 
 def bucket_keys(flat: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """A row of ``REPEATS`` bucket keys, or a few more, for each window flat[s:s+n]."""
-    out = []
-    for e, (steps, columns, first) in enumerate(_plan(n)):
-        values = embed(flat, starts, n, e, steps)
-        for cols, key in zip(columns, first):
-            keys = np.full(len(starts), key)
-            for c in cols:
-                keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + values[:, c])
-            out.append(keys)
-    return np.stack(out, axis=1)
+    plan, out = _plan(n), []
+    for (_, columns, first), values in zip(plan, embed(flat, starts, n, [steps for steps, _, _ in plan])):
+        picked = values[:, columns]  # window, repetition, position
+        keys = np.broadcast_to(first, picked.shape[:2])
+        for k in range(picked.shape[2]):
+            keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + picked[:, :, k])
+        out.append(keys)
+    return np.concatenate(out, axis=1)
 
 
 def _mapped(rows: DataFrame, fn, schema: str) -> DataFrame:
@@ -297,22 +300,22 @@ class Scanner:
         self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
         self.hash = np.concatenate([self.hash, hashes])
         self.code = np.concatenate([self.code, self.words.has(hashes).astype(np.int8) + self.rare.has(hashes)])
-        return np.fromiter((x for words in run for x in map(self.number.__getitem__, words)), np.int64, sum(map(len, run)))
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(run)), np.int64, sum(map(len, run)))
 
-    def regions(self, texts: list) -> list[tuple[int, int, int, np.ndarray, np.ndarray]]:
-        """(text's place, item length, first word, hashes of the words, bucket keys) where some window passes all sieves."""
-        out: list = []
-        run: list[tuple[int, list[bytes]]] = []
+    def regions(self, rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+        """Of (row, text): (row, item length, first word, hashes of the words, bucket keys) where some window passes all sieves; a list for each run of texts."""
+        run: list[tuple[object, list[bytes]]] = []
         held = 0
-        for k, text in enumerate(texts):
+        for row, text in rows:
             words = words_of(text)
             if words:
-                run.append((k, words))
+                run.append((row, words))
                 held += len(words)
             if held >= RUN_WORDS:
-                out += self._scan(run)
+                yield list(self._scan(run))
                 run, held = [], 0
-        return out + (list(self._scan(run)) if run else [])
+        if run:
+            yield list(self._scan(run))
 
     def _scan(self, run: list[tuple[int, list[bytes]]]) -> Iterator:
         if not self.least:
@@ -378,18 +381,20 @@ def _regions(docs: DataFrame, index: Index) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((index.words, index.rare, index.own, index.keys, index.least))
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
 
-    def scan(cols: dict) -> dict:
+    arrow = _arrow(docs.sparkSession, REGIONS)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _scanner
         if _scanner is None or _scanner[0] != name:
             _scanner = name, Scanner(*held.value)
-        out: dict[str, list] = {c.split()[0]: [] for c in REGIONS.split(", ")}
-        for k, n, begin, words, keys in _scanner[1].regions(cols["text"]):
-            rid = xxhash.xxh3_128_digest(words.tobytes(), n)
-            for values, x in zip(out.values(), (cols["doc_id"][k], cols["th"][k], n, begin, rid, signed(words), signed(keys))):
-                values.append(x)
-        return out
-
-    return materialize(_mapped(rows, scan, REGIONS), "decon-regions")
+        parts = (part.to_pydict() for batch in batches for part in slices(batch))
+        texts = (((i, h), t) for cols in parts for i, h, t in zip(cols["doc_id"], cols["th"], cols["text"]))
+        for found in _scanner[1].regions(texts):
+            made = [(i, h, n, begin, xxhash.xxh3_128_digest(words.tobytes(), n), signed(words), signed(keys)) for (i, h), n, begin, words, keys in found]
+            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in made], f.type) for k, f in enumerate(arrow)], schema=arrow)
+
+    small_batches(docs.sparkSession)
+    return materialize(rows.mapInArrow(scan, REGIONS), "decon-regions")
 
 
 _scanner: tuple[str, Scanner] | None = None
