@@ -1,41 +1,55 @@
 """Language-model scores by a class-based bigram model.
 
-Training counts every token of every training text: word counts, and transition
-counts between units. A unit is one of the ``TOP`` most frequent words, the end
-of a text, or a form (a group of all other words by length, last two bytes and
-digits). Brown clustering by exchange then moves each unit to the class that
-raises the class-bigram likelihood most, until a sweep moves none. A token's
-probability mixes the class model, P(class | class before) P(unit | class)
-P(word | unit), with smoothed word frequencies.
-
-The driver holds ``TOP`` words and the units' transition counts, both of fixed
-size; word counts stay in Spark. Texts and the counts of the words they have meet
-in chunks of documents, whose number follows the corpus.
+Training counts every token of every training text. Every word that stands
+``LEAST_COUNT`` times or more gets a class of its own by Brown clustering, however
+many there are; rarer words are pooled by form (length, last two bytes, digits),
+and a form has a class. Exchange goes in two steps:
+
+- seeds: the ``TOP`` most frequent words, the end of a text and the forms of all
+  other words. Their transition counts fit the driver, which moves each to the
+  class that raises the class-bigram likelihood most, until a sweep moves none.
+- all other frequent words: Spark counts, for each, the seeds' classes before and
+  after it, and each word moves to the class that raises the likelihood of these
+  counts most. All move at once, later by turns, and a sweep that doesn't raise
+  the likelihood is undone. Words and their counts stay in Spark.
+
+A token's probability mixes the class model, P(class | class of the seed before)
+P(word | class), with smoothed word frequencies. Texts and the counts and classes
+of the words they have meet in chunks of rows, whose number follows the corpus.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow, materialize, slices, small_batches, table
+from .common import _arrow, discard, materialize, slices, small_batches, table
+from .decontaminate import Sieve, make_sieve
 
 TOP, CLASSES, SWEEPS = 600, 64, 8
 LENGTHS, TAILS = 2, 150
 FORMS = LENGTHS * TAILS * 2
 END = FORMS + TOP
 UNITS = END + 1
+#: Occurrences from which a word is clustered by itself, and sweeps over such words.
+LEAST_COUNT, WORD_SWEEPS = 50, 3
+#: Words of a task's context counts, and of a group that adds them up.
+HELD_TARGETS, GROUP_WORDS = 60_000, 20_000
 #: Weight of the class model in the mixture.
 SHARE = 0.95
 #: Training tokens that make one more chunk of documents.
 CHUNK_TOKENS, LEAST_CHUNKS = 2_000_000, 64
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
+#: Different words that a worker keeps numbers of.
+KEPT_WORDS = 500_000
 #: The end of a text as a word; no word is white space.
 END_WORD = b"\n"
 
@@ -173,42 +187,182 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+class _Numbers:
+    """Words of slices as numbers, with the class as context and the target of each number.
+
+    Targets are forms, the end, and from END_TARGET + 1 on words that are clustered themselves.
+    """
+
+    def __init__(self, context: dict[bytes, int], form_class: np.ndarray, sieve: Sieve):
+        self.context, self.form_class, self.sieve = context, form_class, sieve
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = {END_WORD: 0}
+        self.words: list[bytes] = []
+        self.ctx, self.target = np.array([self.context[END_WORD]]), np.array([FORMS])
+
+    def flat(self, texts: list) -> np.ndarray:
+        """The words of the texts, an end before the first and after each."""
+        cut = [words_of(t) for t in texts]
+        new = list(set().union(*cut).difference(self.number)) if cut else []
+        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        forms = np.fromiter(map(form, new), np.int64, len(new))
+        ctx = np.fromiter((self.context.get(w, -1) for w in new), np.int64, len(new))
+        often = self.sieve.has(word_keys(new))
+        target = np.where(often, FORMS + 1 + len(self.words) + np.cumsum(often) - 1, forms)
+        self.words += [w for w, x in zip(new, often.tolist()) if x]
+        self.ctx = np.concatenate([self.ctx, np.where(ctx >= 0, ctx, self.form_class[forms])])
+        self.target = np.concatenate([self.target, target])
+        get, out = self.number.__getitem__, [0]
+        for words in cut:
+            out += map(get, words)
+            out.append(0)
+        return np.array(out, np.int64)
+
+
+def word_keys(words: list[bytes]) -> np.ndarray:
+    """What Spark's xxhash64 gives for these words."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64)
+
+
+def _target_name(t: int, words: list[bytes]) -> bytes:
+    return words[t - FORMS - 1] if t > FORMS else END_WORD if t == FORMS else b"\n%d" % t
+
+
+def _contexts(context: dict[bytes, int], form_class: np.ndarray, held):
+    """(word, at, n) for each target: how often each class stood before (at < CLASSES) and after it."""
+
+    def emit(dense: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+        rows, at = np.nonzero(dense)
+        used, counts = np.unique(rows, return_counts=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((at, pa.int16()), (dense[rows, at], pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array([_target_name(t, words) for t in used.tolist()], pa.binary()), *lists], names=["word", "at", "n"])
+
+    def run(batches):
+        numbers, dense = _Numbers(context, form_class, held.value), np.zeros((FORMS + 1, 2 * CLASSES), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                flat = numbers.flat(part.column(0).to_pylist())
+                ctx, target = numbers.ctx[flat], numbers.target[flat]
+                events = np.concatenate([target[1:] * (2 * CLASSES) + ctx[:-1], target[:-1] * (2 * CLASSES) + CLASSES + ctx[1:]])
+                seen, n = np.unique(events, return_counts=True)
+                size = FORMS + 1 + len(numbers.words)
+                if size > len(dense):
+                    dense = np.concatenate([dense, np.zeros((size + size // 4 - len(dense), 2 * CLASSES), np.int64)])
+                dense.ravel()[seen] += n
+                if len(numbers.words) > HELD_TARGETS or len(numbers.number) > KEPT_WORDS:
+                    yield emit(dense, numbers.words)
+                    numbers.forget()
+                    dense = np.zeros((FORMS + 1, 2 * CLASSES), np.int64)
+        if dense.any():
+            yield emit(dense, numbers.words)
+
+    return run
+
+
+def _add_up(table_: pa.Table) -> pa.Table:
+    """One row for each word of a group: the sums of its context counts."""
+    table_ = table_.combine_chunks()
+    words = table_["word"].combine_chunks().dictionary_encode()
+    lists = table_["at"].combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    row = np.repeat(words.indices.to_numpy(zero_copy_only=False), lengths)
+    key = row.astype(np.int64) * (2 * CLASSES) + lists.flatten().to_numpy(zero_copy_only=False)
+    seen, back = np.unique(key, return_inverse=True)
+    sums = np.bincount(back, table_["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).astype(np.int64)
+    offsets = pa.array(np.searchsorted(seen // (2 * CLASSES), np.arange(len(words.dictionary) + 1)), pa.int32())
+    made = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((seen % (2 * CLASSES), pa.int16()), (sums, pa.int64()))]
+    return pa.table([words.dictionary, *made], names=["word", "at", "n"])
+
+
+def _xlog(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+
+
+def context_likelihood(totals: np.ndarray) -> float:
+    """Log likelihood of the classes before and after all tokens, but for a constant; totals has a row for each context and a column for each class."""
+    return float(_xlog(totals).sum() - _xlog(totals[:CLASSES].sum(axis=0)).sum() - _xlog(totals[CLASSES:].sum(axis=0)).sum())
+
+
+def best_classes(totals: np.ndarray, at: np.ndarray, n: np.ndarray, starts: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """For each word (its counts n at contexts ``at``, from ``starts`` on) the class where the likelihood gains most; -1 in ``now`` for none yet."""
+    word = np.repeat(np.arange(len(now)), np.diff(np.append(starts, len(at))))
+    own = now[word][:, None] == np.arange(CLASSES)[None, :]
+    n = n.astype(float)
+    rest = totals[at] - np.where(own, n[:, None], 0)
+    gain = np.add.reduceat(_xlog(rest + n[:, None]) - _xlog(rest), starts, axis=0)
+    mine = now[:, None] == np.arange(CLASSES)[None, :]
+    for side, all_ in ((at < CLASSES, totals[:CLASSES].sum(axis=0)), (at >= CLASSES, totals[CLASSES:].sum(axis=0))):
+        count = np.bincount(word, np.where(side, n, 0), len(now))[:, None]
+        others = all_[None, :] - np.where(mine, count, 0)
+        gain -= _xlog(others + count) - _xlog(others)
+    best = gain.argmax(axis=1)
+    stay = (now >= 0) & (gain[np.arange(len(now)), best] <= gain[np.arange(len(now)), np.maximum(now, 0)] + 1e-9)
+    return np.where(stay, now, best)
+
+
+def _sweep(vectors: DataFrame, totals: np.ndarray, turn: int | None) -> DataFrame:
+    """``vectors`` with new classes; with a turn, only words of that parity move, and fixed ones never."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, fixed = batch.column(0).to_pylist(), batch.column(4).to_numpy(zero_copy_only=False)
+            at, n = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            now = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            new = best_classes(totals, at, n, np.cumsum(lengths) - lengths, now)
+            still = fixed if turn is None else fixed | ((word_keys(words) & np.uint64(1)).astype(int) != turn % 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(still, now, new), pa.int32()), batch.column(4)], names=batch.schema.names)
+
+    small_batches(vectors.sparkSession)
+    return vectors.mapInArrow(run, VECTORS)
+
+
+VECTORS = "word binary, at array<smallint>, n array<bigint>, class int, fixed boolean"
+
+
+def _totals(vectors: DataFrame) -> np.ndarray:
+    """Counts of each context (row) and class (column) over all words that have a class; at most 2 CLASSES ** 2 rows come to the driver."""
+    out = np.zeros((2 * CLASSES, CLASSES))
+    pairs = vectors.where("class >= 0").select("class", F.explode(F.arrays_zip("at", "n")).alias("e"))
+    for r in pairs.groupBy("class", F.col("e.at").alias("at")).agg(F.sum("e.n").alias("n")).collect():
+        out[r["at"], r["class"]] = r.n
+    return out
+
+
 @dataclass
 class ClassModel:
-    top: list[bytes]
-    of: np.ndarray  # class of each unit
-    step: np.ndarray  # P(class | class before)
-    unit: np.ndarray  # P(unit | class)
-    tokens: np.ndarray  # training tokens of each form
-    types: np.ndarray  # distinct training words of each form
+    context: dict[bytes, int]  # class of each seed word and the end
+    form_class: np.ndarray  # class of each form
+    step: np.ndarray  # P(class | class of the seed before)
+    size: np.ndarray  # mass of each class
+    tokens: np.ndarray  # training tokens of each form's rare words
+    types: np.ndarray  # distinct such words
     n: int
     v: int
 
-    def of_words(self, units: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For words of these units and training counts: P(word) by frequency, and P(unit | class) P(word | unit)."""
-        plain = (counts + 1) / (self.n + self.v + 1)
-        tokens, types = self.tokens[np.minimum(units, FORMS)], self.types[np.minimum(units, FORMS)]
-        within = np.where(units >= FORMS, 1.0, (counts + 1) / (tokens + types + 1))
-        return plain, self.unit[units] * within
+    def of_words(self, forms: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For words of these forms, own classes (-1 for rare words) and training counts: P(word) by frequency, the class, and P(word | class)."""
+        plain, of = (counts + 1) / (self.n + self.v + 1), np.where(classes >= 0, classes, self.form_class[forms])
+        pooled = (self.tokens[forms] + 0.5) * (counts + 1) / (self.tokens[forms] + self.types[forms] + 1)
+        return plain, of, np.where(classes >= 0, counts, pooled) / self.size[of]
 
     def log10(self, classes: np.ndarray, before: np.ndarray, plain: np.ndarray, within: np.ndarray) -> np.ndarray:
-        """log10 probabilities of tokens by their classes, the classes before them, and ``of_words``."""
+        """log10 probabilities of tokens by their classes, the classes of the seeds before them, and ``of_words``."""
         return np.log10(SHARE * self.step[before, classes] * within + (1 - SHARE) * plain)
 
 
-def fit_classes(top: list[bytes], pairs: np.ndarray, tokens: np.ndarray, types: np.ndarray, n: int, v: int) -> ClassModel:
-    of = exchange(pairs)
-    classes = int(of.max()) + 1
-    member = np.zeros((UNITS, classes))
-    member[np.arange(UNITS), of] = 1
-    between = member.T @ pairs @ member
+def make_model(context: dict[bytes, int], form_class: np.ndarray, totals: np.ndarray, tokens: np.ndarray, types: np.ndarray, n: int, v: int) -> ClassModel:
+    between = totals[:CLASSES]
     after = between.sum(axis=0)
     back = (after + 0.5) / (after + 0.5).sum()
     kinds = (between > 0).sum(axis=1)  # Witten and Bell's weight of what follows in general
     step = (between + kinds[:, None] * back[None, :] + back[None, :]) / (between.sum(axis=1) + kinds + 1)[:, None]
-    seen = pairs.sum(axis=0) + 0.5
-    unit = seen / (member.T @ seen)[of]
-    return ClassModel(top, of, step, unit, np.append(tokens, 0), np.append(types, 0), n, v)
+    return ClassModel(context, form_class, step, after + np.bincount(form_class, minlength=CLASSES) * 0.5, tokens, types, n, v)
 
 
 def held_out(column: str = "doc_id"):
@@ -221,31 +375,78 @@ def count_words(train: DataFrame) -> DataFrame:
     return _map(train.select("text"), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _form_rows(parts):
-    tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-    for cols in parts:
-        f = np.fromiter((form(w) for w in cols["word"]), np.int64, len(cols["word"]))
-        tokens += np.bincount(f, cols["c"], FORMS).astype(np.int64)
-        types += np.bincount(f, minlength=FORMS)
-    yield {"form": np.arange(FORMS), "tokens": tokens, "types": types}
+def _form_rows(held):
+    def run(parts):
+        tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
+        for cols in parts:
+            words = [bytes(w) for w in cols["word"]]
+            rare = ~held.value.has(word_keys(words)) & np.array([w != END_WORD for w in words], bool)
+            f = np.fromiter(map(form, words), np.int64, len(words))[rare]
+            tokens += np.bincount(f, np.array(cols["c"])[rare], FORMS).astype(np.int64)
+            types += np.bincount(f, minlength=FORMS)
+        yield {"form": np.arange(FORMS), "tokens": tokens, "types": types}
+
+    return run
+
+
+def seed_classes(texts: DataFrame, top: list[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+    """Classes of the seed words and the end, and of the forms, by exchange on their transition counts."""
+    pairs = np.zeros(UNITS * UNITS)
+    found = _map(texts, _count_pairs(top), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS ** 2 rows
+    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
+    of = exchange(pairs.reshape(UNITS, UNITS))
+    return {w: int(of[u]) for w, u in _unit_map(top).items()}, of[:FORMS]
+
+
+def word_classes(texts: DataFrame, context: dict[bytes, int], form_class: np.ndarray, held, n_often: int) -> tuple[DataFrame, np.ndarray]:
+    """(word, class) of all words that are clustered, written, and the final counts of contexts and classes."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    seen = texts.mapInArrow(_contexts(context, form_class, held), "word binary, at array<smallint>, n array<bigint>")
+    groups = max(64, n_often // GROUP_WORDS)
+    summed = seen.groupBy(F.pmod(F.xxhash64("word"), F.lit(groups)).alias("g")).applyInArrow(_add_up, "word binary, at array<smallint>, n array<bigint>")
+    known = {w: c for w, c in context.items()} | {b"\n%d" % f: int(c) for f, c in enumerate(form_class.tolist())}  # at most UNITS words
+
+    def begin(parts):
+        for cols in parts:
+            of = [known.get(bytes(w), -1) for w in cols["word"]]
+            yield cols | {"class": of, "fixed": [c >= 0 for c in of]}
+
+    vectors = materialize(_map(summed, begin, VECTORS), "brown-vectors")
+    totals = _totals(vectors)
+    best = -math.inf
+    for k in range(WORD_SWEEPS):
+        moved = materialize(_sweep(vectors, totals, k if k else None), "brown-vectors")
+        after = _totals(moved)
+        score = context_likelihood(after)
+        if score <= best:
+            discard(moved)
+            break
+        discard(vectors)
+        vectors, totals, best = moved, after, score
+    out = materialize(vectors.select("word", "class"), "brown-classes")
+    discard(vectors)
+    return out, totals
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, ClassModel]:
-    """The counts, written in the shared folder, and the model, from rows with doc_id and text that are not held out."""
+    """(word, c, class) of all training words, written in the shared folder (class is null for rare words), and the model; from rows that are not held out."""
     texts = docs.where(~held_out()).select("text")
     counts = materialize(count_words(texts), "brown-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     best = counts.where(F.col("word") != F.lit(END_WORD)).orderBy(F.desc("c"), "word").limit(TOP).collect()
     top = [bytes(r.word) for r in best]
-    pairs = np.zeros(UNITS * UNITS, np.int64)
-    found = _map(texts, _count_pairs(top), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS ** 2 rows
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    known = [*top, END_WORD]
-    rest = counts.where(~F.col("word").isin(known)) if top else counts.where(F.col("word") != F.lit(END_WORD))
+    often = counts.where((F.col("c") >= LEAST_COUNT) | F.col("word").isin(top)).where(F.col("word") != F.lit(END_WORD))
+    held = docs.sparkSession.sparkContext.broadcast(make_sieve(often.select(F.xxhash64("word").alias("x")), 2))
+    context, form_class = seed_classes(texts, top)
+    classes, totals = word_classes(texts, context, form_class, held, often.count())
     tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-    for r in _map(rest, _form_rows, "form long, tokens long, types long").groupBy("form").agg(F.sum("tokens").alias("a"), F.sum("types").alias("b")).collect():
+    for r in _map(counts, _form_rows(held), "form long, tokens long, types long").groupBy("form").agg(F.sum("tokens").alias("a"), F.sum("types").alias("b")).collect():
         tokens[r.form], types[r.form] = r.a, r.b
-    return counts, fit_classes(top, pairs.reshape(UNITS, UNITS).astype(float), tokens, types, int(n), int(v))
+    model = make_model(context, form_class, totals, tokens, types, int(n), int(v))
+    known = materialize(counts.join(classes, "word", "left"), "brown-words")
+    discard(counts, classes)
+    return known, model
 
 
 def _chunk_words(table_: pa.Table) -> pa.Table:
@@ -259,17 +460,18 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def _scorer(model: ClassModel, schema: pa.Schema):
-    known = _unit_map(model.top)
-
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in schema})
         words = right["word"].to_pylist()
         place = {w: k for k, w in enumerate(words)}
         counts = np.array(right["c"].to_numpy(zero_copy_only=False), np.float64)
-        units = np.fromiter((known[w] if w in known else form(w) for w in words), np.int64, len(words))
-        plain, within = model.of_words(units, counts)
-        base, classes, seen = np.log10(plain), model.of[units], counts > 0
+        own = np.array(right["class"].to_numpy(zero_copy_only=False), np.int64)
+        forms = np.fromiter(map(form, words), np.int64, len(words))
+        context = np.fromiter((model.context.get(w, -1) for w in words), np.int64, len(words))
+        context = np.where(context >= 0, context, model.form_class[forms])
+        plain, classes, within = model.of_words(forms, own, counts)
+        base, seen = np.log10(plain), counts > 0
         end = place[END_WORD]
         out: dict[str, list] = {f.name: [] for f in schema}
         out["doc_id"], out["held_out"] = left["doc_id"].to_pylist(), left["held_out"].to_pylist()
@@ -282,7 +484,7 @@ def _scorer(model: ClassModel, schema: pa.Schema):
                 flat.append(end)
             at = np.array(flat, np.int64)
             token = at[1:]
-            mixed = model.log10(classes[token], classes[at[:-1]], plain[token], within[token])
+            mixed = model.log10(classes[token], context[at[:-1]], plain[token], within[token])
             out["n_tokens"] += np.diff([*starts, len(token)]).tolist()
             for name, values in (("n_known", seen[token].astype(np.int64)), ("base_score", base[token]), ("score", mixed)):
                 out[name] += np.add.reduceat(values, starts).tolist()
@@ -292,22 +494,25 @@ def _scorer(model: ClassModel, schema: pa.Schema):
 
 
 def class_scores(docs: DataFrame) -> DataFrame:
-    """One row per document with its log10 probabilities.
+    """One row per row of ``docs``, repeated ones too, with its log10 probabilities and perplexity.
 
     Null and empty texts have one token, their end. Without training rows every
-    token is unknown. Words of scored texts meet their counts by a join on the
-    word, one row for each chunk of documents that has it.
+    token is unknown. Words of scored texts meet their counts and classes by a
+    join on the word, one row for each chunk that has it. Rows are dealt over the
+    chunks by their place, so that equal rows don't meet in one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts, model = train(rows)
+    known, model = train(rows)
     chunks = max(LEAST_CHUNKS, model.n // CHUNK_TOKENS)
-    chunked = rows.select(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"), "doc_id", held_out().alias("held_out"), "text")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
+    chunked = rows.select(place.alias("chunk"), "doc_id", held_out().alias("held_out"), "text").repartition(chunks, "chunk")
     words = chunked.groupBy("chunk").applyInArrow(_chunk_words, "chunk int, word binary")
-    counted = words.join(counts, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"))
+    counted = words.join(known, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class")).repartition(chunks, "chunk")
     scored = chunked.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_scorer(model, _arrow(docs.sparkSession, SCORES)), SCORES)
-    return scored.withColumn("train_tokens", F.lit(model.n).cast("long"))
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return scored.withColumn("train_tokens", F.lit(model.n).cast("long")).withColumn("perplexity", perplexity)
 
 
 def op7_brown(spark, sf_dir: str) -> DataFrame:
     out = class_scores(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

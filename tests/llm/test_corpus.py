@@ -400,24 +400,90 @@ def test_class_model(docs, texts, nothing):
     assert brown.class_scores(nothing).count() == 0
 
 
-def test_class_model_is_a_distribution_and_learns():
-    rng = random.Random(0)
-    left, right = [f"l{k}" for k in range(30)], [f"r{k}" for k in range(30)]
-    text = " ".join(rng.choice(left if k % 2 else right) for k in range(4000))
-    words = brown.words_of(text)
-    counts = Counter([*words, brown.END_WORD])
-    top = sorted(set(words))
-    found = list(brown._count_pairs(top)(iter([{"text": [text]}])))[0]
-    pairs = np.zeros(brown.UNITS**2)
-    pairs[found["pair"]] = found["n"]
-    model = brown.fit_classes(top, pairs.reshape(brown.UNITS, -1), np.zeros(brown.FORMS), np.zeros(brown.FORMS), sum(counts.values()), len(counts))
-    unit = brown._unit_map(top)
-    assert {model.of[unit[w.encode()]] for w in left}.isdisjoint({model.of[unit[w.encode()]] for w in right})
-    assert np.allclose(model.step.sum(axis=1), 1)
-    u = np.array([unit[w] for w in words])
-    plain, within = model.of_words(u, np.array([counts[w] for w in words], float))
-    scores = model.log10(model.of[u], model.of[np.append(brown.END, u[:-1])], plain, within)
-    assert scores.sum() > np.log10(plain).sum() * 0.9
+def plain_scores(rows, known, model):
+    """Scores from the words' classes alone: transitions, class sizes and pools are counted here."""
+    own = {w: c for w, _, c in known if c is not None}
+    counts = {w: c for w, c, _ in known}
+    context = lambda w: model.context.get(w, model.form_class[brown.form(w)])
+    of = lambda w: own.get(w, model.form_class[brown.form(w)])
+    tokens, types, steps, mass = Counter(), Counter(), Counter(), Counter(model.form_class.tolist())
+    mass = Counter({c: k * 0.5 for c, k in mass.items()})
+    for w, c in counts.items():
+        mass[of(w)] += c
+        if w not in own:
+            tokens[brown.form(w)] += c
+            types[brown.form(w)] += 1
+    for i, t in rows:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            words = [b"\n", *brown.words_of(t), b"\n"]
+            steps.update((context(a), of(b)) for a, b in zip(words, words[1:]))
+    after, total = Counter(), Counter()
+    for (a, b), k in steps.items():
+        after[b] += k
+        total[a] += k
+    kinds = Counter(a for a, _ in steps)
+    back = lambda c: (after[c] + 0.5) / (sum(after.values()) + 0.5 * brown.CLASSES)
+    n, v, out = sum(counts.values()), len(counts), []
+    for i, t in rows:
+        words, score = [b"\n", *brown.words_of(t), b"\n"], 0.0
+        for a, w in zip(words, words[1:]):
+            f, c, k = brown.form(w), counts.get(w, 0), context(a)
+            step = (steps[k, of(w)] + (kinds[k] + 1) * back(of(w))) / (total[k] + kinds[k] + 1)
+            within = (c if w in own else (tokens[f] + 0.5) * (c + 1) / (tokens[f] + types[f] + 1)) / mass[of(w)]
+            score += math.log10(brown.SHARE * step * within + (1 - brown.SHARE) * (c + 1) / (n + v + 1))
+        out.append((-1 if i is None else i, len(words) - 1, round(score, 6)))
+    return sorted(out)
+
+
+def test_scores_equal_a_plain_version(spark, texts, tmp_path, monkeypatch):
+    """The registered query, with repeated rows and null ids; words are clustered beyond the seeds."""
+    monkeypatch.setattr(brown, "LEAST_COUNT", 3)
+    monkeypatch.setattr(brown, "TOP", 20)
+    monkeypatch.setattr(brown, "END", brown.FORMS + 20)
+    monkeypatch.setattr(brown, "UNITS", brown.FORMS + 21)
+    rows = [*[r for r in texts if r[0] != 404], (7, texts[7][1]), (None, "all alone"), (None, None), (9, "kkkk " * 5 + "jjjj\u3000 x")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_brown"](spark, str(tmp_path)).collect()
+    known, model = brown.train(docs.select("doc_id", "text"))
+    known = [(bytes(r.word), r.c, r["class"]) for r in known.collect()]
+    clustered = [w for w, _, c in known if c is not None]
+    assert len(clustered) > 60 and all(c is not None for w, k, c in known if k >= 3) and len({c for _, _, c in known if c is not None}) > 10
+    want = plain_scores(rows, known, model)
+    assert [x[:2] for x in sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.score) for r in got)] == [x[:2] for x in want]
+    for a, b in zip(sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.score, 6)) for r in got), want):
+        assert abs(a[2] - b[2]) < 1e-4
+    for r in got:
+        assert math.isclose(r.perplexity, 10 ** (-r.score / r.n_tokens))
+
+
+def test_word_sweeps_find_classes_and_raise_the_likelihood():
+    """Words of two kinds, told apart by what stands around them, though none is a seed."""
+    rng = np.random.default_rng(2)
+    near_a, near_b = rng.integers(0, 8, 64), rng.integers(8, 16, 64)
+    vectors = []
+    for k in range(60):
+        side = near_a if k % 2 else near_b
+        x = np.bincount(rng.choice(side, 40), minlength=2 * brown.CLASSES) + np.bincount(brown.CLASSES + rng.choice(side, 40), minlength=2 * brown.CLASSES)
+        vectors.append(x)
+    totals = np.zeros((2 * brown.CLASSES, brown.CLASSES))
+    totals[:8, 0], totals[8:16, 1] = 200, 200
+    totals[brown.CLASSES : brown.CLASSES + 8, 0], totals[brown.CLASSES + 8 : brown.CLASSES + 16, 1] = 200, 200
+    totals[:16, 2:], totals[brown.CLASSES : brown.CLASSES + 16, 2:] = 100, 100  # no class is empty
+    at = np.concatenate([np.flatnonzero(x) for x in vectors])
+    n = np.concatenate([x[x > 0] for x in vectors])
+    lengths = np.array([(x > 0).sum() for x in vectors])
+    starts = np.cumsum(lengths) - lengths
+    of = brown.best_classes(totals, at, n, starts, np.full(60, -1))
+    assert set(of[1::2]) == {0} and set(of[::2]) == {1}
+    # one word moved by itself changes the likelihood as the gains say, and never for the worse
+    now = rng.integers(0, 4, 60)
+    full = lambda c: totals + sum(np.outer(x, np.eye(brown.CLASSES)[k]) for x, k in zip(vectors, c))
+    new = brown.best_classes(full(now), at, n, starts, now)
+    for k in range(60):
+        tried = [brown.context_likelihood(full([*now[:k], c, *now[k + 1 :]])) for c in range(6)]
+        moved = brown.context_likelihood(full([*now[:k], new[k], *now[k + 1 :]]))
+        assert moved >= max(tried) - 1e-6
 
 
 def test_exchange_never_lowers_the_likelihood():
