@@ -53,6 +53,11 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a written table of a few narrow columns, marked for broadcast if it has at most so many rows; else it is shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def small_batches(spark: SparkSession) -> None:
     """Let the JVM pass ``BATCH_ROWS`` rows at a time to Python, where the session has no setting of its own."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow, discard, materialize, new_name, slices, small_batches, table
-from .decontaminate import words_of
+from .common import _arrow, broadcast_if_small, discard, materialize, new_name, slices, small_batches, table
+from .decontaminate import Sieve, make_sieve, words_of
 from .rolling import mix, prefix_sums, window_at
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -182,8 +182,20 @@ def _sign(cols: dict) -> dict:
     return {"row": cols["row"], "th": cols["th"], "digest": digest, "bands": bands}
 
 
-def _unit_rows(cols: dict) -> dict:
-    return {"node": cols["node"], "units": [np.sort(units(shingles(words_of(t)))).tobytes() for t in cols["text"]]}
+def _asked_for(rows: DataFrame, sieve: Sieve) -> DataFrame:
+    """(row, th, units) of the rows whose text hash is in the sieve."""
+    held = rows.sparkSession.sparkContext.broadcast(sieve)
+    arrow = _arrow(rows.sparkSession, "row long, th long, units binary")
+
+    def run(batches):
+        for batch in batches:
+            hashes = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for part in slices(batch.filter(pa.array(held.value.has(hashes)))):
+                made = [np.sort(units(shingles(words_of(t)))).tobytes() for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.binary())], schema=arrow)
+
+    small_batches(rows.sparkSession)
+    return rows.where("row IS NOT NULL").select("row", "th", "text").mapInArrow(run, "row long, th long, units binary")
 
 
 def _verify(cols: dict) -> dict:
@@ -292,7 +304,7 @@ def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
 def _verified(pairs: DataFrame, unit_rows: DataFrame) -> DataFrame:
     left = unit_rows.select(F.col("node").alias("a"), F.col("units").alias("ua"))
     right = unit_rows.select(F.col("node").alias("b"), F.col("units").alias("ub"))
-    return _arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "ua", "ub"), _verify, "a long, b long")
+    return _arrow_map(left.join(broadcast_if_small(pairs), "a").join(right, "b").select("a", "b", "ua", "ub"), _verify, "a long, b long")
 
 
 def _classes(docs: DataFrame, id_col: str) -> DataFrame:
@@ -307,8 +319,9 @@ def _classes(docs: DataFrame, id_col: str) -> DataFrame:
     owner = materialize(known.groupBy("digest").agg(first).withColumn("node", F.monotonically_increasing_id()), "near-owners")
     chosen = owner.select("digest", "node", F.col("first.row").alias("row"), F.col("first.th").alias("th"))
     # rows of one id and text hash have the same bands
-    signatures_ = known.join(chosen, ["digest", "row", "th"]).select("node", "bands").dropDuplicates(["node"])
-    held = materialize(signatures_.select("node", F.explode("bands").alias("bucket")), "near-buckets")
+    alike = known.join(chosen, ["digest", "row", "th"]).groupBy("node").agg(F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    alike = materialize(alike, "near-alike")
+    held = materialize(alike.select("node", F.explode("bands").alias("bucket")), "near-buckets")
     sizes = materialize(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-sizes")
     shared = materialize(held.join(sizes, "bucket"), "near-shared")
     discard(held, sizes)
@@ -319,9 +332,15 @@ def _classes(docs: DataFrame, id_col: str) -> DataFrame:
     star = materialize(shared.join(pivots, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-star")
     discard(shared, pivots)
     inside = materialize(star.select(F.col("a").alias("node")).unionAll(star.select("b")).distinct(), "near-inside")
-    wanted = materialize(chosen.join(inside, "node").select("node", "row", "th"), "near-wanted")
-    texts = rows.join(wanted, ["row", "th"]).select("node", "text")
-    unit_rows = materialize(_arrow_map(texts, _unit_rows, "node long, units binary").dropDuplicates(["node"]), "near-units")
+    wanted = chosen.join(inside, "node").join(alike.select("node", "copies"), "node").select("node", "row", "th", "copies")
+    wanted = materialize(wanted, "near-wanted")
+    # Texts that aren't asked for stay where they are: a sieve of bounded size tells nearly all of them.
+    read = materialize(_asked_for(rows, make_sieve(wanted.select(F.col("th").alias("x")), 1)), "near-read")
+    read = read.join(broadcast_if_small(wanted), ["row", "th"])
+    # only rows that repeat an id and its text are there more than once
+    once = read.where("copies > 1").select("node", "units").dropDuplicates(["node"])
+    unit_rows = materialize(read.where("copies = 1").select("node", "units").unionAll(once), "near-units")
+    discard(alike)
     links = materialize(_verified(star, unit_rows), "near-links")
     joined = links.unionAll(_links_within(inside, star, links, unit_rows))
     final = materialize(components(inside, joined, "near-final"), "near-final")
