@@ -32,7 +32,8 @@ THRESHOLD = 0.7
 GOLD_ACCURACY = 0.98
 PREFIXES = (4, 5, 6, 7, 8)
 MINED_VOTERS = 5
-MOST_MINED = 1000
+#: Labelled texts of more bytes are not fitted on, so that at most sum(SAMPLE) times as many come to the driver.
+SAMPLE_BYTES = 65_536
 
 _SPLIT = bytes(32 if c < 48 or 58 <= c < 97 or 123 <= c < 128 else c for c in range(256))
 
@@ -111,7 +112,7 @@ def mine(texts: list, gold: np.ndarray, rate: float = 1.0) -> list[bytes]:
             clean.update(toxic.keys() & features(t))
     cut, n_clean = math.log(0.01 / tried), max(1, int((gold == 0).sum()))
     scored = [(_excess(a, clean[f], share), f) for f, a in toxic.items() if clean[f] <= min(0.1 * a / rate, 0.01 * n_clean)]
-    return [f for s, f in sorted(scored) if s < cut][:MOST_MINED]
+    return [f for s, f in sorted(scored) if s < cut]
 
 
 @dataclass
@@ -282,18 +283,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most ``SAMPLE`` labelled rows with remainder 0 or 2; rows with null ids or labels are left out.
 
     Where a label has more rows, those picked stand for all of them, so that the
-    shares of the labels are the same at every size.
+    shares of the labels are the same at every size. An id stands for one row: of
+    several texts that of least hash, of both labels toxic; texts of more than
+    ``SAMPLE_BYTES`` bytes are not fitted on.
     """
     usable = labels.select("doc_id", "toxic").where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(remainder() != 1)
-    usable = usable.distinct()
+    usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = {int(r.toxic): r.n for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = None
     for y, most in SAMPLE.items():
         rows = usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = rows if picked is None else picked.unionAll(rows)
-    # At most sum(SAMPLE) ids are broadcast, and as many texts come to the driver.
-    text = docs.select(F.col("doc_id").alias("doc_id"), "text")
-    got = text.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").toArrow()
+    # At most sum(SAMPLE) ids are broadcast, and as many texts, each of bounded size, come to the driver.
+    text = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
+    found = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    got = found.select("doc_id", "text", "toxic").toArrow()
     rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "toxic"))), key=lambda r: (r[0], r[2], r[1] or ""))
     stands = {y: max(1.0, total.get(y, 0) / most) for y, most in SAMPLE.items()}
     return fit([r[1] for r in rows], np.array([r[2] for r in rows], int), np.array([stands[r[2]] for r in rows]))

@@ -341,6 +341,32 @@ def test_toxicity(spark, nothing):
     assert toxicity.toxicity_scores(nothing, model).count() == 0
 
 
+def test_repeated_ids_and_long_texts_do_not_grow_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, gold, weights=None: seen.append(texts))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    rows = [(k, f"text {k % 3}{'!' * (j % 4)}", "clash") for k in range(60) for j in range(200)] + [(900, "long " * 1000, "x"), (None, "x", "x")]
+    labels = [(k, 1, k % 2) for k in range(60) if k != 5] + [(900, 1, 1), (5, 1, 0), (5, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    for d in (docs, docs.repartition(7)):
+        toxicity.fit_toxicity(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert seen[0] == seen[1] and len(seen[0]) == sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(60)) and max(map(len, seen[0])) < 1000
+
+
+def test_toxicity_query(spark, tmp_path):
+    """The registered query on held-out labels, with repeated rows, nulls and columns that clash."""
+    rows, labels = labelled()
+    docs = [(*r, 1, "x") for r in rows] + [(3, rows[3][1], 1, "x"), (None, None, 1, "x"), (9000, "the calm of words " * 30000, 1, "x"), (9001, "", 1, "x")]
+    spark.createDataFrame(docs, "doc_id long, text string, score int, held_out string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = toxicity.op4_toxicity(spark, str(tmp_path)).collect()
+    assert len(got) == len(docs) and all(r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    marks = dict((i, t) for i, _, t in labels)
+    held = [r for r in got if r.held_out and r.doc_id in marks]
+    assert np.mean([r.predicted == marks[r.doc_id] for r in held]) > 0.98 and not any(r.predicted for r in got if r.doc_id in (9000, 9001, None))
+
+
 def test_sampled_labels_stand_for_all(spark, monkeypatch):
     """The cut, the prior and the mining filter are those of all rows, whatever the sample's shares."""
     rng = np.random.default_rng(4)
