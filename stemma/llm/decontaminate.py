@@ -34,7 +34,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -288,19 +288,19 @@ class Scanner:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.hash, self.code = np.empty(0, np.uint64), np.empty(0, np.int8)
 
     def _numbers(self, run: list[list[bytes]]) -> np.ndarray:
         """The numbers of all words of a run, one text after the other."""
         if len(self.number) > KEPT_WORDS:
             self._forget()
-        new = list(set().union(*run).difference(self.number)) if run else []
-        hashes = word_hashes(new)
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        old = len(self.number)
+        out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(run)), np.int64, sum(map(len, run)))
+        hashes = word_hashes(list(islice(reversed(self.number), len(self.number) - old))[::-1])
         self.hash = np.concatenate([self.hash, hashes])
         self.code = np.concatenate([self.code, self.words.has(hashes).astype(np.int8) + self.rare.has(hashes)])
-        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(run)), np.int64, sum(map(len, run)))
+        return out
 
     def regions(self, rows: Iterable[tuple]) -> Iterator[list[tuple]]:
         """Of (row, text): (row, item length, first word, hashes of the words, bucket keys) where some window passes all sieves; a list for each run of texts."""
