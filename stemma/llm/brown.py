@@ -21,8 +21,9 @@ of the words they have meet in chunks of rows, whose number follows the corpus.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,9 @@ FORMS = LENGTHS * TAILS * 2
 END = FORMS + TOP
 UNITS = END + 1
 #: Occurrences from which a word is clustered by itself, and sweeps over such words.
-LEAST_COUNT, WORD_SWEEPS = 50, 3
-#: Words of a task's context counts, and of a group that adds them up.
-HELD_TARGETS, GROUP_WORDS = 60_000, 20_000
+LEAST_COUNT, WORD_SWEEPS = 100, 3
+#: Events (a word beside a context) that a task holds before it counts them and passes the counts on, and words of a group that adds them up.
+HELD_EVENTS, GROUP_WORDS = 12_000_000, 20_000
 #: Weight of the class model in the mixture.
 SHARE = 0.95
 #: Training tokens that make one more chunk of documents.
@@ -49,7 +50,7 @@ CHUNK_TOKENS, LEAST_CHUNKS = 2_000_000, 64
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
 #: Different words that a worker keeps numbers of.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
 #: The end of a text as a word; no word is white space.
 END_WORD = b"\n"
 
@@ -105,18 +106,27 @@ class _Units(dict):
         return unit
 
 
+def _with_ends(cut: list[list[bytes]], number, end: int) -> np.ndarray:
+    """The numbers of all words, with that of an end before the first text and after each."""
+    lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+    out = np.full(lengths.sum() + len(cut) + 1, end, np.int64)
+    at = np.ones(len(out), bool)
+    at[0] = False
+    at[np.cumsum(lengths + 1)] = False
+    out[at] = np.fromiter(map(number, chain.from_iterable(cut)), np.int64, lengths.sum())
+    return out
+
+
 def _count_pairs(top: list[bytes]):
     known = _unit_map(top)
 
     def run(parts):
         total = np.zeros(UNITS * UNITS, np.int64)
+        units = _Units(known)
         for cols in parts:
-            units = _Units(known)
-            flat = [END]
-            for text in cols["text"]:
-                flat += map(units.__getitem__, words_of(text))
-                flat.append(END)  # ends one text and begins the next
-            seen = np.array(flat, np.int64)
+            if len(units) > KEPT_WORDS:
+                units = _Units(known)
+            seen = _with_ends([words_of(t) for t in cols["text"]], units.__getitem__, END)
             total += np.bincount(seen[:-1] * UNITS + seen[1:], minlength=UNITS * UNITS)
         at = np.flatnonzero(total)
         if len(at):
@@ -198,15 +208,16 @@ class _Numbers:
         self.forget()
 
     def forget(self) -> None:
-        self.number = {END_WORD: 0}
+        self.number = defaultdict(count().__next__)  # a new word gets the next number
+        self.number[END_WORD]
         self.words: list[bytes] = []
         self.ctx, self.target = np.array([self.context[END_WORD]]), np.array([FORMS])
 
     def flat(self, texts: list) -> np.ndarray:
         """The words of the texts, an end before the first and after each."""
-        cut = [words_of(t) for t in texts]
-        new = list(set().union(*cut).difference(self.number)) if cut else []
-        self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+        old = len(self.number)
+        flat = _with_ends([words_of(t) for t in texts], self.number.__getitem__, 0)
+        new = list(islice(reversed(self.number), len(self.number) - old))[::-1]
         forms = np.fromiter(map(form, new), np.int64, len(new))
         ctx = np.fromiter((self.context.get(w, -1) for w in new), np.int64, len(new))
         often = self.sieve.has(word_keys(new))
@@ -214,11 +225,7 @@ class _Numbers:
         self.words += [w for w, x in zip(new, often.tolist()) if x]
         self.ctx = np.concatenate([self.ctx, np.where(ctx >= 0, ctx, self.form_class[forms])])
         self.target = np.concatenate([self.target, target])
-        get, out = self.number.__getitem__, [0]
-        for words in cut:
-            out += map(get, words)
-            out.append(0)
-        return np.array(out, np.int64)
+        return flat
 
 
 def word_keys(words: list[bytes]) -> np.ndarray:
@@ -230,48 +237,53 @@ def _target_name(t: int, words: list[bytes]) -> bytes:
     return words[t - FORMS - 1] if t > FORMS else END_WORD if t == FORMS else b"\n%d" % t
 
 
-def _contexts(context: dict[bytes, int], form_class: np.ndarray, held):
-    """(word, at, n) for each target: how often each class stood before (at < CLASSES) and after it."""
+EVENTS = "g int, words array<binary>, sizes array<int>, at array<smallint>, n array<int>"
 
-    def emit(dense: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
-        rows, at = np.nonzero(dense)
-        used, counts = np.unique(rows, return_counts=True)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((at, pa.int16()), (dense[rows, at], pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array([_target_name(t, words) for t in used.tolist()], pa.binary()), *lists], names=["word", "at", "n"])
+
+def _contexts(context: dict[bytes, int], form_class: np.ndarray, held, groups: int):
+    """For each group of targets its words, and for each how often each class stood before (at < CLASSES) and after it; ``sizes`` cuts the lists."""
+
+    def emit(events: list[np.ndarray], words: list[bytes]) -> pa.RecordBatch:
+        every, n = np.unique(np.concatenate(events), return_counts=True)
+        target, at = np.divmod(every, 2 * CLASSES)
+        used, begin, sizes = np.unique(target, return_index=True, return_counts=True)
+        names = [_target_name(t, words) for t in used.tolist()]
+        group = word_keys(names).view(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        present, cut = np.unique(group[order], return_index=True)
+        lengths = sizes[order]
+        take = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin[order], lengths)
+        by_word = pa.array(np.append(cut, len(order)), pa.int32())
+        by_event = pa.array(np.append(0, np.cumsum(lengths))[np.append(cut, len(order))], pa.int32())
+        lists = [pa.ListArray.from_arrays(by_word, pa.array([names[k] for k in order.tolist()], pa.binary())), pa.ListArray.from_arrays(by_word, pa.array(lengths, pa.int32()))]
+        lists += [pa.ListArray.from_arrays(by_event, pa.array(v[take], k)) for v, k in ((at, pa.int16()), (n, pa.int32()))]
+        return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), *lists], names=["g", "words", "sizes", "at", "n"])
 
     def run(batches):
-        numbers, dense = _Numbers(context, form_class, held.value), np.zeros((FORMS + 1, 2 * CLASSES), np.int64)
+        numbers, events = _Numbers(context, form_class, held.value), []
         for batch in batches:
             for part in slices(batch):
                 flat = numbers.flat(part.column(0).to_pylist())
-                ctx, target = numbers.ctx[flat], numbers.target[flat]
-                events = np.concatenate([target[1:] * (2 * CLASSES) + ctx[:-1], target[:-1] * (2 * CLASSES) + CLASSES + ctx[1:]])
-                seen, n = np.unique(events, return_counts=True)
-                size = FORMS + 1 + len(numbers.words)
-                if size > len(dense):
-                    dense = np.concatenate([dense, np.zeros((size + size // 4 - len(dense), 2 * CLASSES), np.int64)])
-                dense.ravel()[seen] += n
-                if len(numbers.words) > HELD_TARGETS or len(numbers.number) > KEPT_WORDS:
-                    yield emit(dense, numbers.words)
+                ctx, target = numbers.ctx[flat], numbers.target[flat] * (2 * CLASSES)
+                events += [(target[1:] + ctx[:-1]).astype(np.int32), (target[:-1] + CLASSES + ctx[1:]).astype(np.int32)]
+                if sum(map(len, events)) > HELD_EVENTS or len(numbers.number) > KEPT_WORDS:
+                    yield emit(events, numbers.words)
                     numbers.forget()
-                    dense = np.zeros((FORMS + 1, 2 * CLASSES), np.int64)
-        if dense.any():
-            yield emit(dense, numbers.words)
+                    events = []
+        if events:
+            yield emit(events, numbers.words)
 
     return run
 
 
 def _add_up(table_: pa.Table) -> pa.Table:
     """One row for each word of a group: the sums of its context counts."""
-    table_ = table_.combine_chunks()
-    words = table_["word"].combine_chunks().dictionary_encode()
-    lists = table_["at"].combine_chunks()
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-    row = np.repeat(words.indices.to_numpy(zero_copy_only=False), lengths)
-    key = row.astype(np.int64) * (2 * CLASSES) + lists.flatten().to_numpy(zero_copy_only=False)
+    flat = {c: table_[c].combine_chunks().flatten() for c in ("words", "sizes", "at", "n")}
+    words = flat["words"].dictionary_encode()
+    row = np.repeat(words.indices.to_numpy(zero_copy_only=False), flat["sizes"].to_numpy(zero_copy_only=False))
+    key = row.astype(np.int64) * (2 * CLASSES) + flat["at"].to_numpy(zero_copy_only=False)
     seen, back = np.unique(key, return_inverse=True)
-    sums = np.bincount(back, table_["n"].combine_chunks().flatten().to_numpy(zero_copy_only=False)).astype(np.int64)
+    sums = np.bincount(back, flat["n"].to_numpy(zero_copy_only=False)).astype(np.int64)
     offsets = pa.array(np.searchsorted(seen // (2 * CLASSES), np.arange(len(words.dictionary) + 1)), pa.int32())
     made = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((seen % (2 * CLASSES), pa.int16()), (sums, pa.int64()))]
     return pa.table([words.dictionary, *made], names=["word", "at", "n"])
@@ -375,16 +387,16 @@ def count_words(train: DataFrame) -> DataFrame:
     return _map(train.select("text"), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _form_rows(held):
+def _described(held, context: dict[bytes, int], form_class: np.ndarray):
+    """Words and counts with their form, their class as context, and whether they are pooled by form."""
+
     def run(parts):
-        tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
         for cols in parts:
             words = [bytes(w) for w in cols["word"]]
+            f = np.fromiter(map(form, words), np.int64, len(words))
+            ctx = np.fromiter((context.get(w, -1) for w in words), np.int64, len(words))
             rare = ~held.value.has(word_keys(words)) & np.array([w != END_WORD for w in words], bool)
-            f = np.fromiter(map(form, words), np.int64, len(words))[rare]
-            tokens += np.bincount(f, np.array(cols["c"])[rare], FORMS).astype(np.int64)
-            types += np.bincount(f, minlength=FORMS)
-        yield {"form": np.arange(FORMS), "tokens": tokens, "types": types}
+            yield cols | {"form": f, "ctx": np.where(ctx >= 0, ctx, form_class[f]), "rare": rare}
 
     return run
 
@@ -402,9 +414,9 @@ def word_classes(texts: DataFrame, context: dict[bytes, int], form_class: np.nda
     """(word, class) of all words that are clustered, written, and the final counts of contexts and classes."""
     spark = texts.sparkSession
     small_batches(spark)
-    seen = texts.mapInArrow(_contexts(context, form_class, held), "word binary, at array<smallint>, n array<bigint>")
     groups = max(64, n_often // GROUP_WORDS)
-    summed = seen.groupBy(F.pmod(F.xxhash64("word"), F.lit(groups)).alias("g")).applyInArrow(_add_up, "word binary, at array<smallint>, n array<bigint>")
+    seen = texts.mapInArrow(_contexts(context, form_class, held, groups), EVENTS)
+    summed = seen.groupBy("g").applyInArrow(_add_up, "word binary, at array<smallint>, n array<bigint>")
     known = {w: c for w, c in context.items()} | {b"\n%d" % f: int(c) for f, c in enumerate(form_class.tolist())}  # at most UNITS words
 
     def begin(parts):
@@ -430,7 +442,7 @@ def word_classes(texts: DataFrame, context: dict[bytes, int], form_class: np.nda
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, ClassModel]:
-    """(word, c, class) of all training words, written in the shared folder (class is null for rare words), and the model; from rows that are not held out."""
+    """All training words with c, form, ctx, rare and class, written in the shared folder (class is null for rare words), and the model; from rows that are not held out."""
     texts = docs.where(~held_out()).select("text")
     counts = materialize(count_words(texts), "brown-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -440,11 +452,12 @@ def train(docs: DataFrame) -> tuple[DataFrame, ClassModel]:
     held = docs.sparkSession.sparkContext.broadcast(make_sieve(often.select(F.xxhash64("word").alias("x")), 2))
     context, form_class = seed_classes(texts, top)
     classes, totals = word_classes(texts, context, form_class, held, often.count())
+    told = _map(counts, _described(held, context, form_class), "word binary, c long, form smallint, ctx smallint, rare boolean")
+    known = materialize(told.join(classes, "word", "left"), "brown-words")
     tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
-    for r in _map(counts, _form_rows(held), "form long, tokens long, types long").groupBy("form").agg(F.sum("tokens").alias("a"), F.sum("types").alias("b")).collect():
+    for r in known.where("rare").groupBy("form").agg(F.sum("c").alias("a"), F.count(F.lit(1)).alias("b")).collect():
         tokens[r.form], types[r.form] = r.a, r.b
     model = make_model(context, form_class, totals, tokens, types, int(n), int(v))
-    known = materialize(counts.join(classes, "word", "left"), "brown-words")
     discard(counts, classes)
     return known, model
 
@@ -466,26 +479,24 @@ def _scorer(model: ClassModel, schema: pa.Schema):
         words = right["word"].to_pylist()
         place = {w: k for k, w in enumerate(words)}
         counts = np.array(right["c"].to_numpy(zero_copy_only=False), np.float64)
-        own = np.array(right["class"].to_numpy(zero_copy_only=False), np.int64)
-        forms = np.fromiter(map(form, words), np.int64, len(words))
-        context = np.fromiter((model.context.get(w, -1) for w in words), np.int64, len(words))
-        context = np.where(context >= 0, context, model.form_class[forms])
+        own, forms, context = (np.array(right[c].to_numpy(zero_copy_only=False), np.int64) for c in ("class", "form", "ctx"))
+        new = np.flatnonzero(forms < 0)  # words that training has not seen
+        forms[new] = np.fromiter((form(words[k]) for k in new.tolist()), np.int64, len(new))
+        context[new] = model.form_class[forms[new]]
+        context[place[END_WORD]] = model.context[END_WORD]
         plain, classes, within = model.of_words(forms, own, counts)
         base, seen = np.log10(plain), counts > 0
         end = place[END_WORD]
         out: dict[str, list] = {f.name: [] for f in schema}
         out["doc_id"], out["held_out"] = left["doc_id"].to_pylist(), left["held_out"].to_pylist()
         for batch in left.select(["text"]).to_batches(max_chunksize=256):
-            flat: list[int] = [end]
-            starts = []
-            for text in batch.column(0).to_pylist():
-                starts.append(len(flat) - 1)
-                flat += map(place.__getitem__, words_of(text))
-                flat.append(end)
-            at = np.array(flat, np.int64)
+            cut = [words_of(text) for text in batch.column(0).to_pylist()]
+            lengths = np.fromiter(map(len, cut), np.int64, len(cut)) + 1
+            starts = np.cumsum(lengths) - lengths
+            at = _with_ends(cut, place.__getitem__, end)
             token = at[1:]
             mixed = model.log10(classes[token], context[at[:-1]], plain[token], within[token])
-            out["n_tokens"] += np.diff([*starts, len(token)]).tolist()
+            out["n_tokens"] += lengths.tolist()
             for name, values in (("n_known", seen[token].astype(np.int64)), ("base_score", base[token]), ("score", mixed)):
                 out[name] += np.add.reduceat(values, starts).tolist()
         return pa.table({f.name: pa.array(out[f.name], f.type) for f in schema})
@@ -507,7 +518,7 @@ def class_scores(docs: DataFrame) -> DataFrame:
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     chunked = rows.select(place.alias("chunk"), "doc_id", held_out().alias("held_out"), "text").repartition(chunks, "chunk")
     words = chunked.groupBy("chunk").applyInArrow(_chunk_words, "chunk int, word binary")
-    counted = words.join(known, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(-1)).alias("class")).repartition(chunks, "chunk")
+    counted = words.join(known, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("class", "form", "ctx")]).repartition(chunks, "chunk")
     scored = chunked.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_scorer(model, _arrow(docs.sparkSession, SCORES)), SCORES)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.withColumn("train_tokens", F.lit(model.n).cast("long")).withColumn("perplexity", perplexity)
