@@ -88,7 +88,9 @@ _DECODE = "SELECT doc, string_agg(piece, '' ORDER BY pos) AS text, count(*) = co
 #: Bytes from which a word counts as long.
 LONG = 100
 #: Token rows that the rounds of one query for long words may come to, and tokens decoded by one query.
-ROUND_ROWS, DECODE_TOKENS = 4_000_000, 1_000_000
+ROUND_ROWS, DECODE_TOKENS = 4_000_000, 500_000
+#: What a worker's database may hold, and while it has long words.
+MEMORY, LONG_MEMORY = "256MB", "768MB"
 
 
 def read_ranks(path: str | None) -> dict[bytes, int]:
@@ -119,7 +121,7 @@ class Codec:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], i) for t, i in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
-        self.db.execute("SET memory_limit = '768MB'")
+        self.db.execute(f"SET memory_limit = '{MEMORY}'")
         self.db.execute("SET temp_directory = ''")  # what a query holds is bounded, so nothing is spilled to a local folder
         least: dict[int, int] = {}  # the lowest rank of a pair that a token takes part in
         for a, b, i in pairs:
@@ -154,6 +156,7 @@ class Codec:
 
     def _contract_long(self, words: list[str], rows: dict) -> None:
         """Words in some rounds of recursion at a time, so that the rows of all rounds stay bounded, until none has a pair."""
+        self.db.execute(f"SET memory_limit = '{LONG_MEMORY}'")
         while len(rows["word"]):
             self._table("bytes", rows)
             most = max(2, ROUND_ROWS // len(rows["word"]))
@@ -164,6 +167,7 @@ class Codec:
                 if not unsettled[a]:
                     self.known[words[word[a]]] = " ".join(map(str, ids[a:b].tolist()))
             rows = {"word": word[unsettled], "pos": out["pos"].to_numpy()[unsettled], "id": ids[unsettled]}
+        self.db.execute(f"SET memory_limit = '{MEMORY}'")
 
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > self.cache_words:

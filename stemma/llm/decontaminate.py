@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _arrow, materialize, new_name, slices, small_batches, table
+from .common import _arrow, broadcast_if_small, materialize, new_name, slices, small_batches, table
 from .rolling import mix, prefix_sums, signed, window_at, word_hashes
 
 RATE = 0.2
@@ -51,7 +51,7 @@ SEED = 7
 #: Bits of a sieve: so many for each thing in it, the next power of two, and never more than the last figure.
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 30
 #: Words of documents handled by one array operation, and different words that a worker keeps.
-RUN_WORDS, KEPT_WORDS = 1_000_000, 500_000
+RUN_WORDS, KEPT_WORDS = 400_000, 200_000
 #: A word is common if more than this share of the items has it.
 COMMON = 0.02
 _SPLIT = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
@@ -285,16 +285,16 @@ class Scanner:
     def __init__(self, words: Sieve, rare: Sieve, own: Sieve, keys: Sieve, least: dict[int, int]):
         self.words, self.rare, self.own, self.keys, self.least = words, rare, own, keys, least
         self.tail = int(RATE * max(least, default=0)) + 1
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.number: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
         self.hash, self.code = np.empty(0, np.uint64), np.empty(0, np.int8)
 
     def _numbers(self, run: list[list[bytes]]) -> np.ndarray:
         """The numbers of all words of a run, one text after the other."""
         if len(self.number) > KEPT_WORDS:
-            self._forget()
+            self.forget()
         old = len(self.number)
         out = np.fromiter(map(self.number.__getitem__, chain.from_iterable(run)), np.int64, sum(map(len, run)))
         hashes = word_hashes(list(islice(reversed(self.number), len(self.number) - old))[::-1])
@@ -392,6 +392,8 @@ def _regions(docs: DataFrame, index: Index) -> DataFrame:
         for found in _scanner[1].regions(texts):
             made = [(i, h, n, begin, xxhash.xxh3_128_digest(words.tobytes(), n), signed(words), signed(keys)) for (i, h), n, begin, words, keys in found]
             yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in made], f.type) for k, f in enumerate(arrow)], schema=arrow)
+        _scanner[1].forget()
+        pa.default_memory_pool().release_unused()
 
     small_batches(docs.sparkSession)
     return materialize(rows.mapInArrow(scan, REGIONS), "decon-regions")
@@ -448,7 +450,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     row, hash_ = new_name(docs, "_row"), new_name(docs, "_hash")
     hits = materialize(_found(docs, benchmark).select(F.col("doc_id").alias(row), F.col("th").alias(hash_)).distinct(), "decon-hits")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(row)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_))
-    return docs.join(hits, same, "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(hits), same, "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
