@@ -410,10 +410,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     many = many.select(F.col("row").alias(row), F.col("th").alias(hash_))
     gone, many = materialize(gone, "near-gone"), materialize(many, "near-many")
     same = (F.col("doc_id").cast("long") == F.col(row)) & (F.xxhash64(F.col("text").cast("string")) == F.col(hash_))
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(broadcast_if_small(gone), same, "left_anti")
     if many.isEmpty():
         return kept.select(*docs.columns)
     whole, order = new_name(docs, "_whole"), F.xxhash64(*[F.col(c) for c, t in docs.dtypes if not t.startswith(("map", "variant"))])
+    many = broadcast_if_small(many)
     one = kept.join(many, same).groupBy(row, hash_).agg(F.min_by(F.struct(*docs.columns), order).alias(whole)).select(f"{whole}.*")
     return kept.join(many, same, "left_anti").select(*docs.columns).unionAll(one)
 
