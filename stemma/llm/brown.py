@@ -16,6 +16,7 @@ and a form has a class. Exchange goes in two steps:
 A token's probability mixes the class model, P(class | class of the seed before)
 P(word | class), with smoothed word frequencies. Texts and the counts and classes
 of the words they have meet in chunks of rows, whose number follows the corpus.
+Words travel as lists, one for each group of words (by their CRC) that a task holds.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ import math
 from collections import Counter, defaultdict
 from dataclasses import dataclass
 from itertools import chain, count, islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +52,10 @@ SHARE = 0.95
 CHUNK_TOKENS, LEAST_CHUNKS = 2_000_000, 64
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
+#: Bytes of text for each group of words that is counted in one go.
+COUNT_BYTES = 8 << 20
+#: Known words of a group that is looked up, and chunks that ask one group.
+LOOK_UP_WORDS, LOOK_UP_CHUNKS = 100_000, 8
 #: Different words that a worker keeps numbers of.
 KEPT_WORDS = 800_000
 #: The end of a text as a word; no word is white space.
@@ -81,17 +88,44 @@ def _map(rows: DataFrame, fn, schema: str) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _count_words(parts):
-    counts: Counter = Counter()
-    for cols in parts:
-        for text in cols["text"]:
-            counts.update(words_of(text))
-            counts[END_WORD] += 1
-        if len(counts) > HELD_WORDS:
-            yield {"word": list(counts), "n": list(counts.values())}
-            counts = Counter()
-    if counts:
-        yield {"word": list(counts), "n": list(counts.values())}
+def _group_of(words: list[bytes], groups: int) -> np.ndarray:
+    return np.fromiter(map(crc32, words), np.int64, len(words)) % groups
+
+
+def _packed(words: list[bytes], groups: int, **others) -> pa.RecordBatch:
+    """A row for each group with its words, and what ``others`` has for them, as lists."""
+    group = _group_of(words, groups)
+    order = np.argsort(group, kind="stable")
+    present, cut = np.unique(group[order], return_index=True)
+    offsets, take = pa.array(np.append(cut, len(words)), pa.int32()), pa.array(order)
+    lists = {"words": pa.array(words, pa.binary()), **others}
+    return pa.RecordBatch.from_pydict({"g": pa.array(present, pa.int32())} | {c: pa.ListArray.from_arrays(offsets, v.take(take)) for c, v in lists.items()})
+
+
+def _count_words(groups: int):
+    def emit(counts: Counter) -> pa.RecordBatch:
+        return _packed(list(counts), groups, n=pa.array(counts.values(), pa.int64()))
+
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch):
+                for text in part.column(0).to_pylist():
+                    counts.update(words_of(text))
+                    counts[END_WORD] += 1
+                if len(counts) > HELD_WORDS:
+                    yield emit(counts)
+                    counts = Counter()
+        if counts:
+            yield emit(counts)
+
+    return run
+
+
+def _sum_counts(table_: pa.Table) -> pa.Table:
+    """One row for each word of a group, with the sum of its counts."""
+    flat = pa.table({"word": table_["words"].combine_chunks().flatten(), "c": table_["n"].combine_chunks().flatten()})
+    return flat.group_by("word").aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
 
 
 def _unit_map(top: list[bytes]) -> dict[bytes, int]:
@@ -282,8 +316,9 @@ def _add_up(table_: pa.Table) -> pa.Table:
     words = flat["words"].dictionary_encode()
     row = np.repeat(words.indices.to_numpy(zero_copy_only=False), flat["sizes"].to_numpy(zero_copy_only=False))
     key = row.astype(np.int64) * (2 * CLASSES) + flat["at"].to_numpy(zero_copy_only=False)
-    seen, back = np.unique(key, return_inverse=True)
-    sums = np.bincount(back, flat["n"].to_numpy(zero_copy_only=False)).astype(np.int64)
+    dense = np.bincount(key, flat["n"].to_numpy(zero_copy_only=False))  # some GROUP_WORDS x 2 CLASSES
+    seen = np.flatnonzero(dense)
+    sums = dense[seen].astype(np.int64)
     offsets = pa.array(np.searchsorted(seen // (2 * CLASSES), np.arange(len(words.dictionary) + 1)), pa.int32())
     made = [pa.ListArray.from_arrays(offsets, pa.array(v, k)) for v, k in ((seen % (2 * CLASSES), pa.int16()), (sums, pa.int64()))]
     return pa.table([words.dictionary, *made], names=["word", "at", "n"])
@@ -301,10 +336,13 @@ def context_likelihood(totals: np.ndarray) -> float:
 def best_classes(totals: np.ndarray, at: np.ndarray, n: np.ndarray, starts: np.ndarray, now: np.ndarray) -> np.ndarray:
     """For each word (its counts n at contexts ``at``, from ``starts`` on) the class where the likelihood gains most; -1 in ``now`` for none yet."""
     word = np.repeat(np.arange(len(now)), np.diff(np.append(starts, len(at))))
-    own = now[word][:, None] == np.arange(CLASSES)[None, :]
     n = n.astype(float)
-    rest = totals[at] - np.where(own, n[:, None], 0)
-    gain = np.add.reduceat(_xlog(rest + n[:, None]) - _xlog(rest), starts, axis=0)
+    own = np.flatnonzero(now[word] >= 0)  # counts that are in the totals of their word's class
+    in_own = at[own], now[word][own]
+    with_, without = totals[at] + n[:, None], _xlog(totals)[at]
+    with_[own, in_own[1]] = totals[in_own]
+    without[own, in_own[1]] = _xlog(totals[in_own] - n[own])
+    gain = np.add.reduceat(with_ * np.log(with_) - without, starts, axis=0)
     mine = now[:, None] == np.arange(CLASSES)[None, :]
     for side, all_ in ((at < CLASSES, totals[:CLASSES].sum(axis=0)), (at >= CLASSES, totals[CLASSES:].sum(axis=0))):
         count = np.bincount(word, np.where(side, n, 0), len(now))[:, None]
@@ -384,11 +422,14 @@ def held_out(column: str = "doc_id"):
 
 def count_words(train: DataFrame) -> DataFrame:
     """(word, c) of all tokens, the ends of texts too."""
-    return _map(train.select("text"), _count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    small_batches(train.sparkSession)
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    counted = train.select("text").mapInArrow(_count_words(max(LEAST_CHUNKS, size // COUNT_BYTES)), "g int, words array<binary>, n array<bigint>")
+    return counted.groupBy("g").applyInArrow(_sum_counts, "word binary, c bigint")
 
 
-def _described(held, context: dict[bytes, int], form_class: np.ndarray):
-    """Words and counts with their form, their class as context, and whether they are pooled by form."""
+def _described(held, context: dict[bytes, int], form_class: np.ndarray, groups: int):
+    """Words and counts with their group, their form, their class as context, and whether they are pooled by form."""
 
     def run(parts):
         for cols in parts:
@@ -396,7 +437,7 @@ def _described(held, context: dict[bytes, int], form_class: np.ndarray):
             f = np.fromiter(map(form, words), np.int64, len(words))
             ctx = np.fromiter((context.get(w, -1) for w in words), np.int64, len(words))
             rare = ~held.value.has(word_keys(words)) & np.array([w != END_WORD for w in words], bool)
-            yield cols | {"form": f, "ctx": np.where(ctx >= 0, ctx, form_class[f]), "rare": rare}
+            yield cols | {"g": _group_of(words, groups), "form": f, "ctx": np.where(ctx >= 0, ctx, form_class[f]), "rare": rare}
 
     return run
 
@@ -442,7 +483,7 @@ def word_classes(texts: DataFrame, context: dict[bytes, int], form_class: np.nda
 
 
 def train(docs: DataFrame) -> tuple[DataFrame, ClassModel]:
-    """All training words with c, form, ctx, rare and class, written in the shared folder (class is null for rare words), and the model; from rows that are not held out."""
+    """All training words with c, group, form, ctx, rare and class, written in the shared folder (class is null for rare words), and the model; from rows that are not held out."""
     texts = docs.where(~held_out()).select("text")
     counts = materialize(count_words(texts), "brown-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
@@ -452,7 +493,7 @@ def train(docs: DataFrame) -> tuple[DataFrame, ClassModel]:
     held = docs.sparkSession.sparkContext.broadcast(make_sieve(often.select(F.xxhash64("word").alias("x")), 2))
     context, form_class = seed_classes(texts, top)
     classes, totals = word_classes(texts, context, form_class, held, often.count())
-    told = _map(counts, _described(held, context, form_class), "word binary, c long, form smallint, ctx smallint, rare boolean")
+    told = _map(counts, _described(held, context, form_class, _look_up_groups(n, v)), "word binary, c long, g int, form smallint, ctx smallint, rare boolean")
     known = materialize(told.join(classes, "word", "left"), "brown-words")
     tokens, types = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
     for r in known.where("rare").groupBy("form").agg(F.sum("c").alias("a"), F.count(F.lit(1)).alias("b")).collect():
@@ -462,11 +503,50 @@ def train(docs: DataFrame) -> tuple[DataFrame, ClassModel]:
     return known, model
 
 
-def _chunk_words(table_: pa.Table) -> pa.Table:
-    found: set[bytes] = {END_WORD}
-    for text in table_["text"].to_pylist():
-        found.update(words_of(text))
-    return pa.table({"chunk": pa.array([table_["chunk"][0].as_py()] * len(found), pa.int32()), "word": pa.array(list(found), pa.binary())})
+def _chunks(tokens: int) -> int:
+    return max(LEAST_CHUNKS, tokens // CHUNK_TOKENS)
+
+
+def _look_up_groups(tokens: int, words: int) -> int:
+    return max(LEAST_CHUNKS, words // LOOK_UP_WORDS, _chunks(tokens) // LOOK_UP_CHUNKS)
+
+
+def _chunk_words(groups: int):
+    """The distinct words of a chunk, by group."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        found: set[bytes] = {END_WORD}
+        for batch in table_.select(["text"]).to_batches(max_chunksize=256):
+            for text in batch.column(0).to_pylist():
+                found.update(words_of(text))
+        packed = pa.Table.from_batches([_packed(list(found), groups)])
+        return packed.add_column(1, "chunk", pa.array([table_["chunk"][0].as_py()] * packed.num_rows, pa.int32()))
+
+    return run
+
+
+#: What is told of a word that training has not seen.
+UNSEEN = {"c": 0, "class": -1, "form": -1, "ctx": -1}
+TOLD = "chunk int, words array<binary>, c array<bigint>, class array<int>, form array<smallint>, ctx array<smallint>"
+
+
+def _look_up(schema: pa.Schema):
+    """For the words of a group, chunk by chunk, what ``known`` has of them."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return schema.empty_table()
+        asked = left["words"].combine_chunks()
+        flat, offsets = asked.flatten(), np.append(0, np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False)))
+        at = pc.index_in(flat, value_set=right["word"].combine_chunks().cast(pa.binary())).fill_null(right.num_rows)
+        out = {"chunk": left["chunk"].combine_chunks(), "words": asked}
+        for c, unseen in UNSEEN.items():
+            values = right[c].combine_chunks().fill_null(unseen)
+            told = pa.concat_arrays([values, pa.array([unseen], values.type)]).take(at)
+            out[c] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), told)
+        return pa.table([out[f.name].cast(f.type) for f in schema], schema=schema)
+
+    return run
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -476,10 +556,10 @@ def _scorer(model: ClassModel, schema: pa.Schema):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in schema})
-        words = right["word"].to_pylist()
+        words = right["words"].combine_chunks().flatten().to_pylist()
         place = {w: k for k, w in enumerate(words)}
-        counts = np.array(right["c"].to_numpy(zero_copy_only=False), np.float64)
-        own, forms, context = (np.array(right[c].to_numpy(zero_copy_only=False), np.int64) for c in ("class", "form", "ctx"))
+        counts, own, forms, context = (np.array(right[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)) for c in UNSEEN)
+        counts, own, forms, context = counts.astype(np.float64), own.astype(np.int64), forms.astype(np.int64), context.astype(np.int64)
         new = np.flatnonzero(forms < 0)  # words that training has not seen
         forms[new] = np.fromiter((form(words[k]) for k in new.tolist()), np.int64, len(new))
         context[new] = model.form_class[forms[new]]
@@ -508,18 +588,18 @@ def class_scores(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``, repeated ones too, with its log10 probabilities and perplexity.
 
     Null and empty texts have one token, their end. Without training rows every
-    token is unknown. Words of scored texts meet their counts and classes by a
-    join on the word, one row for each chunk that has it. Rows are dealt over the
+    token is unknown. Words of scored texts meet their counts and classes group
+    by group, once for each chunk that has them. Rows are dealt over the
     chunks by their place, so that equal rows don't meet in one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known, model = train(rows)
-    chunks = max(LEAST_CHUNKS, model.n // CHUNK_TOKENS)
+    chunks, groups, spark = _chunks(model.n), _look_up_groups(model.n, model.v), docs.sparkSession
     place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int")
     chunked = rows.select(place.alias("chunk"), "doc_id", held_out().alias("held_out"), "text").repartition(chunks, "chunk")
-    words = chunked.groupBy("chunk").applyInArrow(_chunk_words, "chunk int, word binary")
-    counted = words.join(known, "word", "left").select("chunk", "word", F.coalesce("c", F.lit(0)).alias("c"), *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("class", "form", "ctx")]).repartition(chunks, "chunk")
-    scored = chunked.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_scorer(model, _arrow(docs.sparkSession, SCORES)), SCORES)
+    words = chunked.groupBy("chunk").applyInArrow(_chunk_words(groups), "g int, chunk int, words array<binary>")
+    told = words.groupBy("g").cogroup(known.select("g", "word", *UNSEEN).groupBy("g")).applyInArrow(_look_up(_arrow(spark, TOLD)), TOLD).repartition(chunks, "chunk")
+    scored = chunked.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_scorer(model, _arrow(spark, SCORES)), SCORES)
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return scored.withColumn("train_tokens", F.lit(model.n).cast("long")).withColumn("perplexity", perplexity)
 
