@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stemma.llm import brown, decontaminate, near, queries, repeats, sharding, toxicity
@@ -613,3 +614,27 @@ def test_pipeline(spark, tmp_path):
     text = {r.doc_id: r.text for r in decode_ids(corpus_pipeline.run(spark, str(tmp_path))).collect()}
     assert text[1002].endswith("[secret]") and text[1] == rows[1][1]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "tokens"]
+
+
+def test_words_meet_their_counts_group_by_group():
+    words, groups = [b"w%d" % k for k in range(500)] + [b"\n", b"", "\u00e9".encode()], 7
+    packed = brown._packed(words, groups, n=pa.array(range(len(words)), pa.int64()))
+    rows = packed.to_pylist()
+    assert sorted(r["g"] for r in rows) == sorted(set(brown._group_of(words, groups).tolist()))
+    assert {w: n for r in rows for w, n in zip(r["words"], r["n"])} == {w: n for n, w in enumerate(words)}
+    twice = pa.Table.from_batches([packed, packed])
+    summed = brown._sum_counts(twice).to_pylist()
+    assert {r["word"]: r["c"] for r in summed} == {w: 2 * n for n, w in enumerate(words)} and len(summed) == len(words)
+
+    lists = {"c": pa.list_(pa.int64()), "class": pa.list_(pa.int32()), "form": pa.list_(pa.int16()), "ctx": pa.list_(pa.int16())}
+    schema = pa.schema([("chunk", pa.int32()), ("words", pa.list_(pa.binary())), *lists.items()])
+    run = brown._look_up(schema)
+    left = pa.table({"g": pa.array([1, 1], pa.int32()), "chunk": pa.array([3, 9], pa.int32()), "words": pa.array([[b"a", b"new"], [b"b"]], pa.list_(pa.binary()))})
+    columns = {"g": pa.int32(), "word": pa.binary(), "c": pa.int64(), "class": pa.int32(), "form": pa.int16(), "ctx": pa.int16()}
+    known = pa.table({c: pa.array(v, t) for (c, t), v in zip(columns.items(), ([1, 1], [b"b", b"a"], [5, 6], [None, 2], [7, 8], [1, 0]))})
+    assert run(left, known).to_pylist() == [
+        {"chunk": 3, "words": [b"a", b"new"], "c": [6, 0], "class": [2, -1], "form": [8, -1], "ctx": [0, -1]},
+        {"chunk": 9, "words": [b"b"], "c": [5], "class": [-1], "form": [7], "ctx": [1]},
+    ]
+    assert run(left.slice(0, 0), known).num_rows == 0
+    assert run(left, known.slice(0, 0)).to_pylist()[1] == {"chunk": 9, "words": [b"b"], "c": [0], "class": [-1], "form": [-1], "ctx": [-1]}
