@@ -9,6 +9,11 @@ from ..functions import vocab as V
 from ..functions.languages import impossible_pairs
 
 
+def _shuffled(nodes: DataFrame) -> DataFrame:
+    """The side of a join that has a row for each node: the planner knows only its compressed files, and would broadcast millions of rows."""
+    return nodes.hint("merge")
+
+
 def markup_in_lemma(nodes: DataFrame) -> DataFrame:
     """C1: no markup in a lemma."""
     return nodes.where(F.col("lemma").rlike("\\[\\[|\\]\\]|\\{\\{|\\}\\}|''|<[^>]*>"))
@@ -57,5 +62,5 @@ def repeated_on_branch(nodes: DataFrame) -> DataFrame:
     key = F.struct("language", F.lower(F.regexp_replace("lemma", "^\\*+", "")))
     keyed = nodes.select("word_id", "path", key.alias("key"))
     above = keyed.select("word_id", F.col("path").alias("upper"), F.col("key"))
-    pairs = keyed.join(above, ["word_id", "key"])
+    pairs = keyed.join(_shuffled(above), ["word_id", "key"])
     return pairs.where((F.size("upper") < F.size("path")) & (F.slice("path", 1, F.greatest(F.size("upper"), F.lit(0))) == F.col("upper")))

@@ -116,6 +116,22 @@ def test_invariants_find_what_is_wrong(spark, engine):
     assert C.impossible_links(broken, V.languages_df(spark)).count() == 1
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+
+
+@pytest.fixture(scope="module")
+def written(engine, spark):
+    """Nodes in files, which seem small to the planner."""
+    return H.materialize(H.nodes(engine.walk(words(spark, *PAGES))), "nodes")
+
+
+def test_repeats_on_branches_are_not_broadcast(written):
+    plan = final_plan(C.repeated_on_branch(written))
+    assert "SortMergeJoin [word_id" in plan and "Broadcast" not in plan
+
+
 CODES = ["it", "la", "la-med", "grc", "de-AT", "qxx", "ine-pro", "ar", "", "roa-oca,oc-pro"]
 LEMMAS = ["labōs", "*bʰer-", "ōrātiō", "قَهْوَة", "πλᾰτεῖᾰ", "", "Ǖx", "ăĕ"]
 
