@@ -27,7 +27,7 @@ def colon_in_lemma(nodes: DataFrame) -> DataFrame:
 def impossible_links(nodes: DataFrame, languages: DataFrame) -> DataFrame:
     """C3: no drawn link runs against the chronology."""
     child = nodes.where("parent_path IS NOT NULL").select("word_id", F.col("parent_path").alias("path"), F.col("language").alias("ancestor"), F.col("lemma").alias("ancestor_lemma"))
-    drawn = child.join(nodes.select("word_id", "path", F.col("language").alias("descendant")), ["word_id", "path"])
+    drawn = child.join(_shuffled(nodes.select("word_id", "path", F.col("language").alias("descendant"))), ["word_id", "path"])
     return drawn.join(F.broadcast(impossible_pairs(languages)), ["ancestor", "descendant"])
 
 

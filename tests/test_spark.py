@@ -132,6 +132,11 @@ def test_repeats_on_branches_are_not_broadcast(written):
     assert "SortMergeJoin [word_id" in plan and "Broadcast" not in plan
 
 
+def test_links_are_not_broadcast(spark, written):
+    plan = final_plan(C.impossible_links(written, V.languages_df(spark)))
+    assert "SortMergeJoin [word_id" in plan and "BroadcastHashJoin [word_id" not in plan
+
+
 CODES = ["it", "la", "la-med", "grc", "de-AT", "qxx", "ine-pro", "ar", "", "roa-oca,oc-pro"]
 LEMMAS = ["labōs", "*bʰer-", "ōrātiō", "قَهْوَة", "πλᾰτεῖᾰ", "", "Ǖx", "ăĕ"]
 
