@@ -10,7 +10,7 @@ from ..functions.languages import impossible_pairs
 
 
 def _shuffled(nodes: DataFrame) -> DataFrame:
-    """The side of a join that has a row for each node: the planner knows only its compressed files, and would broadcast millions of rows."""
+    """The side of a join that grows with the words or pages: the planner knows only its compressed files, and would broadcast millions of rows."""
     return nodes.hint("merge")
 
 
@@ -35,8 +35,8 @@ def proposals_drawn(nodes: DataFrame, analyses: DataFrame) -> DataFrame:
     """C4: what an entry proposes only is not drawn under it. ``analyses`` has title and hypotheses."""
     proposed = analyses.where("steps = 0").select("title", F.explode("hypotheses").alias("h")).select(F.col("title").alias("parent"), F.col("h.lemma").alias("lemma"), F.col("h.language").alias("language"))
     child = nodes.where("parent_path IS NOT NULL AND note IS NULL").select("word_id", F.col("parent_path").alias("path"), "lemma", "language")
-    drawn = child.join(nodes.select("word_id", "path", F.col("lemma").alias("parent")), ["word_id", "path"])
-    return drawn.join(proposed, ["parent", "lemma", "language"])
+    drawn = child.join(_shuffled(nodes.select("word_id", "path", F.col("lemma").alias("parent"))), ["word_id", "path"])
+    return drawn.join(_shuffled(proposed), ["parent", "lemma", "language"])
 
 
 def forms_lost(nodes: DataFrame, named: DataFrame) -> DataFrame:

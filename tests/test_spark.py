@@ -137,6 +137,17 @@ def test_links_are_not_broadcast(spark, written):
     assert "SortMergeJoin [word_id" in plan and "BroadcastHashJoin [word_id" not in plan
 
 
+def test_proposals_are_not_broadcast(spark, written):
+    at = {f.name: [] if f.name in ("hypotheses", "variants") else None for f in written.schema} | {"word_id": "w", "lemma": "a", "language": "it", "path": []}
+    rows = [at, at | {"path": [0], "parent_path": [], "lemma": "b", "language": "la"}]
+    nodes = H.materialize(spark.createDataFrame([tuple(r[f.name] for f in written.schema) for r in rows], written.schema), "nodes")
+    named = spark.createDataFrame([("a", 0, [("b", "la")]), ("a", 1, [("b", "la")]), ("b", 0, [("b", "la")])], "title string, steps int, hypotheses array<struct<lemma: string, language: string>>")
+    drawn = C.proposals_drawn(nodes, H.materialize(named, "named"))
+    assert [(r.word_id, r.parent, r.lemma) for r in drawn.collect()] == [("w", "a", "b")]
+    plan = final_plan(drawn)
+    assert plan.count("SortMergeJoin [") == 2 and "Broadcast" not in plan
+
+
 CODES = ["it", "la", "la-med", "grc", "de-AT", "qxx", "ine-pro", "ar", "", "roa-oca,oc-pro"]
 LEMMAS = ["labōs", "*bʰer-", "ōrātiō", "قَهْوَة", "πλᾰτεῖᾰ", "", "Ǖx", "ăĕ"]
 
