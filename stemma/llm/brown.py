@@ -46,6 +46,8 @@ UNITS = END + 1
 LEAST_COUNT, WORD_SWEEPS = 100, 3
 #: Events (a word beside a context) that a task holds before it counts them and passes the counts on, and words of a group that adds them up.
 HELD_EVENTS, GROUP_WORDS = 12_000_000, 20_000
+#: Context counts of the words that a sweep weighs at once, each against all classes.
+SWEEP_EVENTS = 1 << 14
 #: Weight of the class model in the mixture.
 SHARE = 0.95
 #: Training tokens that make one more chunk of documents.
@@ -271,6 +273,12 @@ def _target_name(t: int, words: list[bytes]) -> bytes:
     return words[t - FORMS - 1] if t > FORMS else END_WORD if t == FORMS else b"\n%d" % t
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, where each begins, and how often it stands."""
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[begin], begin, np.diff(np.append(begin, len(values)))
+
+
 EVENTS = "g int, words array<binary>, sizes array<int>, at array<smallint>, n array<int>"
 
 
@@ -278,9 +286,12 @@ def _contexts(context: dict[bytes, int], form_class: np.ndarray, held, groups: i
     """For each group of targets its words, and for each how often each class stood before (at < CLASSES) and after it; ``sizes`` cuts the lists."""
 
     def emit(events: list[np.ndarray], words: list[bytes]) -> pa.RecordBatch:
-        every, n = np.unique(np.concatenate(events), return_counts=True)
+        every = np.concatenate(events)
+        events.clear()  # not held beside their sorted copy
+        every.sort()
+        every, _, n = _runs(every)
         target, at = np.divmod(every, 2 * CLASSES)
-        used, begin, sizes = np.unique(target, return_index=True, return_counts=True)
+        used, begin, sizes = _runs(target)
         names = [_target_name(t, words) for t in used.tolist()]
         group = word_keys(names).view(np.int64) % groups
         order = np.argsort(group, kind="stable")
@@ -324,6 +335,17 @@ def _add_up(table_: pa.Table) -> pa.Table:
     return pa.table([words.dictionary, *made], names=["word", "at", "n"])
 
 
+def _begin(known: dict[bytes, int]):
+    """Sums of a group with the first classes, in one step: another one behind it would keep a second worker for each task."""
+
+    def run(table_: pa.Table) -> pa.Table:
+        out = _add_up(table_)
+        of = pa.array([known.get(w, -1) for w in out["word"].to_pylist()], pa.int32())
+        return out.append_column("class", of).append_column("fixed", pc.greater_equal(of, 0))
+
+    return run
+
+
 def _xlog(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -353,6 +375,16 @@ def best_classes(totals: np.ndarray, at: np.ndarray, n: np.ndarray, starts: np.n
     return np.where(stay, now, best)
 
 
+def _blocks(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Runs of words that have at most so many counts together, or one word."""
+    ends, out, start = np.cumsum(lengths), [], 0
+    while start < len(lengths):
+        stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, side="right"))
+        out.append((start, stop := max(stop, start + 1)))
+        start = stop
+    return out
+
+
 def _sweep(vectors: DataFrame, totals: np.ndarray, turn: int | None) -> DataFrame:
     """``vectors`` with new classes; with a turn, only words of that parity move, and fixed ones never."""
 
@@ -364,7 +396,9 @@ def _sweep(vectors: DataFrame, totals: np.ndarray, turn: int | None) -> DataFram
             at, n = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 2))
             lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
             now = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            new = best_classes(totals, at, n, np.cumsum(lengths) - lengths, now)
+            begin = np.append(0, np.cumsum(lengths))
+            parts = [(slice(a, b), slice(begin[a], begin[b])) for a, b in _blocks(lengths, SWEEP_EVENTS)]
+            new = np.concatenate([best_classes(totals, at[e], n[e], begin[w] - begin[w.start], now[w]) for w, e in parts])
             still = fixed if turn is None else fixed | ((word_keys(words) & np.uint64(1)).astype(int) != turn % 2)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(still, now, new), pa.int32()), batch.column(4)], names=batch.schema.names)
 
@@ -457,15 +491,8 @@ def word_classes(texts: DataFrame, context: dict[bytes, int], form_class: np.nda
     small_batches(spark)
     groups = max(64, n_often // GROUP_WORDS)
     seen = texts.mapInArrow(_contexts(context, form_class, held, groups), EVENTS)
-    summed = seen.groupBy("g").applyInArrow(_add_up, "word binary, at array<smallint>, n array<bigint>")
     known = {w: c for w, c in context.items()} | {b"\n%d" % f: int(c) for f, c in enumerate(form_class.tolist())}  # at most UNITS words
-
-    def begin(parts):
-        for cols in parts:
-            of = [known.get(bytes(w), -1) for w in cols["word"]]
-            yield cols | {"class": of, "fixed": [c >= 0 for c in of]}
-
-    vectors = materialize(_map(summed, begin, VECTORS), "brown-vectors")
+    vectors = materialize(seen.groupBy("g").applyInArrow(_begin(known), VECTORS), "brown-vectors")
     totals = _totals(vectors)
     best = -math.inf
     for k in range(WORD_SWEEPS):

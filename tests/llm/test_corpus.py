@@ -638,3 +638,49 @@ def test_words_meet_their_counts_group_by_group():
     ]
     assert run(left.slice(0, 0), known).num_rows == 0
     assert run(left, known.slice(0, 0)).to_pylist()[1] == {"chunk": 9, "words": [b"b"], "c": [0], "class": [-1], "form": [-1], "ctx": [-1]}
+
+
+def test_sweep_holds_little_and_changes_nothing(spark):
+    import tracemalloc
+
+    class Vectors:  # gives the function that a worker runs
+        sparkSession = spark
+
+        def mapInArrow(self, fn, schema):
+            return fn
+
+    rng, words, k = np.random.default_rng(3), 1000, 2 * brown.CLASSES
+    n, now = rng.integers(1, 500, words * k), rng.integers(-1, brown.CLASSES, words)
+    totals = rng.integers(10**6, 10**7, (k, brown.CLASSES)).astype(float)
+    at, offsets = np.tile(np.arange(k), words), pa.array(np.arange(words + 1) * k, pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(v, t)) for v, t in ((at, pa.int16()), (n, pa.int64()))]
+    batch = pa.record_batch([pa.array([b"w%d" % x for x in range(words)]), *lists, pa.array(now, pa.int32()), pa.array([False] * words)], names=["word", "at", "n", "class", "fixed"])
+    run = brown._sweep(Vectors(), totals, None)
+    tracemalloc.start()
+    (moved,) = run([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6
+    assert moved.column(3).to_pylist() == brown.best_classes(totals, at, n, np.arange(words) * k, now).tolist()
+
+
+def test_first_classes_take_no_second_worker(spark, monkeypatch):
+    plans, write = {}, brown.materialize
+
+    def noted(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(brown, "materialize", noted)
+    docs = spark.createDataFrame([(k, "some words stand here") for k in range(20)], "doc_id long, text string")
+    known, _ = brown.train(docs)
+    assert known.where("NOT rare AND class IS NULL").isEmpty()
+    sums = plans["brown-vectors"].index("FlatMapGroupsInArrow")
+    assert "MapInArrow" not in plans["brown-vectors"][:sums]
+
+
+def test_runs_and_blocks():
+    values, begin, n = brown._runs(np.array([2, 2, 5, 7, 7, 7], np.int32))
+    assert (values.tolist(), begin.tolist(), n.tolist()) == ([2, 5, 7], [0, 2, 3], [2, 1, 3])
+    assert brown._blocks(np.array([3, 4, 9, 0, 2, 5]), 7) == [(0, 2), (2, 3), (3, 6)]
+    assert brown._blocks(np.array([], np.int64), 7) == []
