@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocab as V
 from ..functions.languages import impossible_pairs
-
-
-def _shuffled(nodes: DataFrame) -> DataFrame:
-    """The side of a join that grows with the words or pages: the planner knows only its compressed files, and would broadcast millions of rows."""
-    return nodes.hint("merge")
+from ..sources.scratch import shuffled
 
 
 def markup_in_lemma(nodes: DataFrame) -> DataFrame:
@@ -27,7 +23,7 @@ def colon_in_lemma(nodes: DataFrame) -> DataFrame:
 def impossible_links(nodes: DataFrame, languages: DataFrame) -> DataFrame:
     """C3: no drawn link runs against the chronology."""
     child = nodes.where("parent_path IS NOT NULL").select("word_id", F.col("parent_path").alias("path"), F.col("language").alias("ancestor"), F.col("lemma").alias("ancestor_lemma"))
-    drawn = child.join(_shuffled(nodes.select("word_id", "path", F.col("language").alias("descendant"))), ["word_id", "path"])
+    drawn = child.join(shuffled(nodes.select("word_id", "path", F.col("language").alias("descendant"))), ["word_id", "path"])
     return drawn.join(F.broadcast(impossible_pairs(languages)), ["ancestor", "descendant"])
 
 
@@ -35,8 +31,8 @@ def proposals_drawn(nodes: DataFrame, analyses: DataFrame) -> DataFrame:
     """C4: what an entry proposes only is not drawn under it. ``analyses`` has title and hypotheses."""
     proposed = analyses.where("steps = 0").select("title", F.explode("hypotheses").alias("h")).select(F.col("title").alias("parent"), F.col("h.lemma").alias("lemma"), F.col("h.language").alias("language"))
     child = nodes.where("parent_path IS NOT NULL AND note IS NULL").select("word_id", F.col("parent_path").alias("path"), "lemma", "language")
-    drawn = child.join(_shuffled(nodes.select("word_id", "path", F.col("lemma").alias("parent"))), ["word_id", "path"])
-    return drawn.join(_shuffled(proposed), ["parent", "lemma", "language"])
+    drawn = child.join(shuffled(nodes.select("word_id", "path", F.col("lemma").alias("parent"))), ["word_id", "path"])
+    return drawn.join(shuffled(proposed), ["parent", "lemma", "language"])
 
 
 def forms_lost(nodes: DataFrame, named: DataFrame) -> DataFrame:
@@ -62,5 +58,5 @@ def repeated_on_branch(nodes: DataFrame) -> DataFrame:
     key = F.struct("language", F.lower(F.regexp_replace("lemma", "^\\*+", "")))
     keyed = nodes.select("word_id", "path", key.alias("key"))
     above = keyed.select("word_id", F.col("path").alias("upper"), F.col("key"))
-    pairs = keyed.join(_shuffled(above), ["word_id", "key"])
+    pairs = keyed.join(shuffled(above), ["word_id", "key"])
     return pairs.where((F.size("upper") < F.size("path")) & (F.slice("path", 1, F.greatest(F.size("upper"), F.lit(0))) == F.col("upper")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.model import Form
-from ..sources.scratch import materialize
+from ..sources.scratch import materialize, shuffled
 from . import views
 from .sections import _rows, read_pages
 from .walk import MAX_DEPTH, MAX_HOPS, History, Library, SourceError, history, sense_rows, titles_of
@@ -39,12 +39,12 @@ def _words(words: DataFrame) -> DataFrame:
 def closure(read: DataFrame, words: DataFrame, rounds: int) -> DataFrame:
     """(word_id, title) of every page that the walk of a word may look at."""
     start = _rows(words.select("word_id", "lemma", "language"), lambda w, x, c: [(w, t) for t in titles_of(Form(x, c))], "word_id string, title string")
-    refs = read.select("title", "refs")
+    refs = shuffled(read.select("title", "refs"))
     frontier = materialize(start.distinct(), "frontier")
     seen = frontier
     for _ in range(rounds):
         step = frontier.join(refs, "title").select("word_id", F.explode("refs").alias("title")).distinct()
-        frontier = materialize(step.join(seen, ["word_id", "title"], "left_anti"), "frontier")
+        frontier = materialize(step.join(shuffled(seen), ["word_id", "title"], "left_anti"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionAll(frontier)
@@ -77,7 +77,7 @@ def histories(pages: DataFrame, words: DataFrame, *, max_depth: int = MAX_DEPTH,
     known = read.select("title", "read")
     if errors is not None:
         known = known.unionAll(errors.select("title", F.lit(None).cast("string").alias("read")))
-    held = seen.join(known, "title").groupBy("word_id").agg(F.collect_list(F.struct("title", "read")).alias("held"))
+    held = seen.join(shuffled(known), "title").groupBy("word_id").agg(F.collect_list(F.struct("title", "read")).alias("held"))
     rows = asked.join(held, "word_id", "left").select("word_id", "lemma", "language", "sense", "as_lemma", "held")
 
     def walk(word_id, lemma, language, sense, as_lemma, held):

@@ -24,3 +24,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the words or pages: the planner knows only its compressed files, and would broadcast millions of rows."""
+    return df.hint("merge")

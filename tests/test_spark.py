@@ -5,6 +5,7 @@ import gzip
 import io
 import json
 import os
+import re
 import urllib.error
 
 import pytest
@@ -148,6 +149,20 @@ def test_proposals_are_not_broadcast(spark, written):
     assert plan.count("SortMergeJoin [") == 2 and "Broadcast" not in plan
 
 
+def test_pages_of_a_walk_are_not_broadcast(spark, engine, monkeypatch):
+    plans, write = [], H.materialize
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(H, "materialize", noted)
+    walked = engine.walk(words(spark, *PAGES))
+    plans.append(walked._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin [title" in p for p in plans) > 2
+    assert not any(re.search(r"BroadcastHashJoin \[(word_id#\d+, )?title", p) for p in plans)
+
+
 CODES = ["it", "la", "la-med", "grc", "de-AT", "qxx", "ine-pro", "ar", "", "roa-oca,oc-pro"]
 LEMMAS = ["labōs", "*bʰer-", "ōrātiō", "قَهْوَة", "πλᾰτεῖᾰ", "", "Ǖx", "ăĕ"]
 
